@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +72,6 @@ class PythonOperator(MergeOperator):
     returns: str
 
     def combine(self, values: Column) -> Column:
-        import pandas as pd
-
         function = self.function
 
         def run(lists: pd.Series) -> pd.Series:
