@@ -171,7 +171,7 @@ def schema_changes(versions: DataFrame, table: str, order_by: Sequence[str], com
     joined with its predecessor, so a table with very many versions is spread over tasks.  No versions give no rows.
     """
     readable = versions.select(table, commit, *[c for c in order_by if c != commit], schema)
-    readable = readable.where(F.col(schema).rlike(r'^\s*\{.*"type"'))
+    readable = readable.where(F.trim(F.col(schema)) != "")
     numbered = running_total(readable, [table], order_by, None, "_no")
     keyed = numbered.select(table, commit, "_no", schema)
     before = keyed.select(table, (F.col("_no") + 1).alias("_no"), F.col(schema).alias("_old"))

@@ -28,7 +28,8 @@ def orphan_references(
 
     ``targets`` has the same key columns; repeated targets do no harm.  A reference with a null in a key column equals
     no target and is reported; leave such rows out beforehand if null means "no reference".  Empty references give no
-    rows; empty targets make every reference an orphan.  Other columns are ignored, whatever their names.
+    rows; empty targets make every reference an orphan.  Other columns are ignored, whatever their names; key columns
+    must not be called ``period``, ``n`` or ``_total``.
     """
     counted = materialize(
         references.select(*keys, period.alias("period")).groupBy(*keys, "period").agg(F.count(F.lit(1)).alias("n")),

@@ -1,11 +1,12 @@
 """Work on keys of very uneven frequency: heavy-key search, salted joins, exact offset chunking.
 
-Nothing here assumes that the rows of one key fit into a task.  All sums that reach the driver are bounded by a share
-of the rows (``max_heavy``), never by the number of keys.
+Nothing here assumes that the rows of one key fit into a task.  What reaches the driver is bounded by a share of
+the rows (``HEAVY_SHARE``), never by the number of keys.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from functools import reduce
 
@@ -20,9 +21,11 @@ HEAVY_SHARE = 1 / 64
 SALTS = 16
 
 
-def all_equal(pairs: Sequence[tuple[Column, Column]]) -> Column:
-    """Null-safe equality of all pairs, still usable as an equi-join key."""
-    return reduce(lambda a, b: a & b, [a.eqNullSafe(b) for a, b in pairs])
+def unused_names(df: DataFrame, count: int) -> list[str]:
+    """Column names that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    free = (f"_k{i}" for i in itertools.count())
+    return list(itertools.islice((f for f in free if f not in taken), count))
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE) -> list[tuple]:
@@ -74,22 +77,20 @@ def running_total(
     rows are numbered inside (key, partition) only.  No task sees more of one key than a partition holds.
 
     Null keys form one group.  ``order_by`` should be unique within a key; ties are put in an arbitrary but fixed order.
-    Null weights count as 0.  An empty table gives an empty table.  Columns named ``_pid``, ``_k``, ``_before`` and ``_w``
-    are reserved and must not occur in ``df``.
+    Null weights count as 0.  An empty table gives an empty table.  A column already called ``name`` is replaced; other
+    columns may have any names.
     """
-    clash = {"_pid", "_k", "_before", "_w", name} & set(df.columns)
-    if clash:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
     w = F.coalesce(F.col(weight), F.lit(0)).cast("long") if weight else F.lit(1).cast("long")
-    ranged = df.repartitionByRange(*keys, *order_by).withColumn("_pid", F.spark_partition_id()).withColumn("_w", w)
-    stable = materialize(ranged, "ranged")
-    keyed = stable.withColumn("_k", F.struct(*keys))  # a struct is never null, so null keys join and group like others
-    sums = keyed.groupBy("_k", "_pid").agg(F.sum("_w").alias("_s"))
-    before = F.sum("_s").over(Window.partitionBy("_k").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select("_k", "_pid", F.coalesce(before, F.lit(0)).alias("_before"))
-    local = Window.partitionBy("_k", "_pid").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = keyed.join(offsets, ["_k", "_pid"]).withColumn(name, F.col("_before") + F.sum("_w").over(local))
-    return numbered.select(*df.columns, name)
+    # a struct is never null, so null keys join and group like others
+    rows = df.select(F.struct(*keys).alias("k"), F.struct(*order_by).alias("o"), w.alias("w"), F.struct("*").alias("row"))
+    stable = materialize(rows.repartitionByRange("k", "o").withColumn("pid", F.spark_partition_id()), "ranged")
+    sums = stable.groupBy("k", "pid").agg(F.sum("w").alias("s"))
+    before = F.sum("s").over(Window.partitionBy("k").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select("k", "pid", F.coalesce(before, F.lit(0)).alias("before"))
+    local = Window.partitionBy("k", "pid").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = stable.join(offsets, ["k", "pid"]).withColumn("upto", F.col("before") + F.sum("w").over(local))
+    kept = [F.col("row").getField(c).alias(c) for c in df.columns if c != name]
+    return numbered.select(*kept, F.col("upto").alias(name))
 
 
 def chunked_states(
@@ -107,16 +108,17 @@ def chunked_states(
     partition, prefix sums of those counts are the offsets, and ``offset + local number`` numbers the rows of a key
     exactly; ``number // chunk_rows`` is the chunk.  ``states`` maps result names to aggregate expressions.
     """
-    rows = df.withColumn("_k", F.struct(key)).withColumn("_part", input_part).withColumn("_pos", position)
-    counts = rows.groupBy("_k", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_k", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    numbered = rows.join(offsets, ["_k", "_part"]).withColumn(
-        "_no", F.col("_before") + F.row_number().over(Window.partitionBy("_k", "_part").orderBy("_pos")) - 1
+    k, part, pos, n, before, no = unused_names(df, 6)
+    rows = df.withColumn(k, F.struct(key)).withColumn(part, input_part).withColumn(pos, position)
+    counts = rows.groupBy(k, part).agg(F.count(F.lit(1)).alias(n))
+    earlier = F.sum(n).over(Window.partitionBy(k).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(k, part, F.coalesce(earlier, F.lit(0)).alias(before))
+    numbered = rows.join(offsets, [k, part]).withColumn(
+        no, F.col(before) + F.row_number().over(Window.partitionBy(k, part).orderBy(pos)) - 1
     )
-    chunk = F.floor(F.col("_no") / F.lit(chunk_rows)).cast("long")
+    chunk = F.floor(F.col(no) / F.lit(chunk_rows)).cast("long")
     return numbered.groupBy(key, chunk.alias("chunk")).agg(
-        F.min("_no").alias("chunk_first"),
+        F.min(no).alias("chunk_first"),
         F.count(F.lit(1)).alias("chunk_size"),
         *[c.alias(n) for n, c in states.items()],
     )
@@ -146,6 +148,6 @@ def chunked_aggregate(
     """Per-key results without per-key tasks: ``chunked_states`` then ``merge_states``.
 
     Null keys form one group; empty input gives no rows; repeated rows all count; columns of ``df`` other than those
-    used in ``states`` are pruned.  Reserved names: ``_part _pos _n _k _before _no``.
+    used in ``states`` are pruned and may have any names.
     """
     return merge_states(chunked_states(df, key, input_part, position, states, chunk_rows), key, merges)
