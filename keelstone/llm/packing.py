@@ -73,13 +73,16 @@ def _pieces(items: DataFrame) -> DataFrame:
             F.least(i * F.col("capacity"), F.col("tokens"))
         ).cast("long")
 
-    low, high = edge(F.col("piece")), edge(F.col("piece") + 1)
-    size = F.greatest(F.col("tokens"), F.lit(1))
-    share = lambda at: F.floor(F.col("loss_tokens") * at / size)
+    def loss_before(i, at):
+        by_length = F.floor(F.col("loss_tokens") * at / F.greatest(F.col("tokens"), F.lit(1)))
+        return F.when(F.col("_even"), F.floor(i * F.col("loss_tokens") / F.col("_n"))).otherwise(by_length).cast("long")
+
+    here, after = F.col("piece"), F.col("piece") + 1
+    low, high = edge(here), edge(after)
     return cut.select(
         *[c for c in items.columns if c not in ("tokens", "loss_tokens")],
         "piece", low.alias("first_token"), (high - low).alias("tokens"),
-        (share(high) - share(low)).cast("long").alias("loss_tokens"),
+        (loss_before(after, high) - loss_before(here, low)).alias("loss_tokens"),
     )
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # --- fixed values ---
@@ -35,14 +36,10 @@ def count_tokens(df: DataFrame, column: str, vocabulary: str = DEFAULT_VOCABULAR
     """``df`` without ``column`` but with ``tokens`` and ``loss_tokens`` (longs).
 
     Whole texts are encoded; null and empty texts have 0 tokens.  ``loss_tokens`` leaves out bracketed remarks, encoded
-    by themselves.  Other columns are kept; ``tokens`` and ``loss_tokens`` must not be among them.
+    by themselves.  Other columns are kept; those already called ``tokens`` or ``loss_tokens`` are replaced.
     """
-    rest = [c for c in df.columns if c != column]
-    if {"tokens", "loss_tokens"} & set(rest):
-        raise ValueError("reserved column names: tokens, loss_tokens")
+    rest = [c for c in df.columns if c not in (column, "tokens", "loss_tokens")]
     rows = df.select(*rest, column)
-    from pyspark.sql import types as T
-
     added = [T.StructField("tokens", T.LongType()), T.StructField("loss_tokens", T.LongType())]
     schema = T.StructType([*(rows.schema[c] for c in rest), *added])
 
