@@ -416,7 +416,7 @@ class Table:
             if "AGGREGATE" in (e.getCondition() or "") or "INVALID_WHERE" in (e.getCondition() or ""):
                 raise UnsupportedError(f"aggregates are not allowed in a condition: {condition}") from e
             raise
-        if plan.toString().find("-subquery#") >= 0 or any(f" {w}#" in plan.toString() for w in ("exists", "list", "scalar-subquery")):
+        if _has_subquery(plan.condition()):
             raise UnsupportedError(f"subqueries are not allowed in a condition: {condition}")
         if not plan.condition().deterministic():
             raise UnsupportedError(f"a condition must be deterministic: {condition}")
@@ -595,6 +595,13 @@ class Table:
         return update_view(self.spark, self)
 
 
+def _has_subquery(expression) -> bool:
+    if expression.getClass().getSimpleName() in ("InSubquery", "ScalarSubquery", "Exists", "ListQuery"):
+        return True
+    children = expression.children()
+    return any(_has_subquery(children.apply(i)) for i in range(children.size()))
+
+
 def _declared(field: T.StructField) -> bool:
     """True if a NOT NULL is meant as a constraint and not just a result of how the rows were made."""
     return bool((field.metadata or {}).get("keelstone.notNull"))

@@ -48,6 +48,7 @@ def drop_void(df: DataFrame) -> DataFrame:
             return isinstance(kind.valueType, T.NullType) or has_void(kind.valueType)
         return isinstance(kind, T.StructType) and any(has_void(f.dataType) for f in kind.fields)
 
+    check_names(df.schema)
     for f in df.schema.fields:
         if has_void(f.dataType):
             raise SchemaError(f"column {f.name} holds values without a type")
