@@ -10,6 +10,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
+from dataclasses import replace
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -519,15 +520,13 @@ class Table:
         if condition is not None and len(keys) != 1:
             raise NotFoundError(f"the condition selects {len(keys)} partitions, not one")
         limit, hours = int(setting(self.spark, "deltaFile.max.num")), float(setting(self.spark, "compaction.interval"))
-        for key in sorted(keys):
+        now, due = time.time() * 1000, set()
+        for key in keys:
             known = state.partitions.get(key)
-            due = known is None or known.deltas >= limit or (
-                not known.compacted and time.time() * 1000 - known.updated_ms > hours * HOUR_MS
-            )
-            own = [f for f in files if f.range_key == key]
-            if (force or due) and own and not all(f.is_base for f in own):
-                self._fold(state, own, COMPACTION, mergeOperatorInfo)
-        return self.log.snapshot()
+            old = known is None or known.deltas >= limit or (not known.compacted and now - known.updated_ms > hours * HOUR_MS)
+            if (force or old) and not all(f.is_base for f in files if f.range_key == key):
+                due.add(key)
+        return self._fold(state, [f for f in files if f.range_key in due], COMPACTION, mergeOperatorInfo)
 
     def part_compaction(self, merge: dict | None = None, minimum: int | None = None) -> Snapshot:
         """Where a partition has more than ``minimum`` versions, fold the oldest of them into one."""
@@ -536,20 +535,29 @@ class Table:
         by_key: dict[str, list[DataFile]] = {}
         for f in state.files.values():
             by_key.setdefault(f.range_key, []).append(f)
-        for _, own in sorted(by_key.items()):
+        oldest = []
+        for own in by_key.values():
             orders = sorted({f.order for f in own})
             if len(orders) > least:
-                oldest = set(orders[: len(orders) - least + 1])
-                self._fold(state, [f for f in own if f.order in oldest], PART_COMPACTION, merge)
-        return self.log.snapshot()
+                oldest += [f for f in own if f.order <= orders[len(orders) - least]]
+        return self._fold(state, oldest, PART_COMPACTION, merge)
+
+    def _fold(self, state: Snapshot, files: list[DataFile], kind: str, merge: dict | None) -> Snapshot:
+        """Merge files into one version per bucket: one job and one commit for all partitions.
 
-    def _fold(self, state: Snapshot, files: list[DataFile], kind: str, merge: dict | None) -> None:
-        rows = scan(self.spark, state.meta, self.path, files, self._operators(state.meta, merge))
-        if not state.meta.keyed:
+        The result stands in the order of versions where the newest of its partition's merged files stood.
+        """
+        operators = self._operators(state.meta, merge)
+        if not files:
+            return state
+        newest: dict[str, int] = {}
+        for f in files:
+            newest[f.range_key] = max(newest.get(f.range_key, 0), f.order)
+        rows = scan(self.spark, state.meta, self.path, files, operators)
+        if not state.meta.keyed and not state.meta.range_columns:
             rows = rows.hint("rebalance")
-        newest = max(f.order for f in files)
-        add = write_files(rows, state.meta, self.path, base=kind == COMPACTION, order=newest, checked=False, unique=True)
-        self._commit(state, kind, add, files)
+        written = write_files(rows, state.meta, self.path, base=kind == COMPACTION, checked=False, unique=True)
+        return self._commit(state, kind, [replace(f, order=newest[f.range_key]) for f in written], files)
 
     def cleanup(self, justList: bool | None = None) -> list[str]:
         """Delete (or only list) files that no snapshot needs and that are older than the retention."""

@@ -61,7 +61,7 @@ def list_files(spark: SparkSession, folder: str, suffix: str = ".parquet") -> li
 
 
 def write_files(
-    df: DataFrame, meta: Meta, table_path: str, *, base: bool = False, order: int = 0, checked: bool = True, unique: bool = False
+    df: DataFrame, meta: Meta, table_path: str, *, base: bool = False, checked: bool = True, unique: bool = False
 ) -> list[DataFile]:
     """Write rows as files of the table; they count only once a commit names them.
 
@@ -100,7 +100,7 @@ def write_files(
             c: None if values[d] == _NULL_DIRECTORY else unquote(values[d]) for d, c in zip(directories, meta.range_columns)
         }
         bucket = int(values.get("__bucket", -1))
-        files.append(DataFile(f"data/{token}/{path}", range_key(own), own, bucket, size, tuple(columns), order, base))
+        files.append(DataFile(f"data/{token}/{path}", range_key(own), own, bucket, size, tuple(columns), 0, base))
     return files
 
 
