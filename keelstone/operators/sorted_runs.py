@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -74,7 +75,8 @@ def read_spans(spark: SparkSession, paths: Sequence[str], key: str, key_type: st
             for path in batch.column(0).to_pylist():
                 with _open(path) as file:
                     meta = file.metadata
-                    column = file.schema_arrow.get_field_index(key)
+                    leaves = [meta.schema.column(i).path for i in range(meta.num_columns)]
+                    column = leaves.index(key)  # nested columns have several leaves, so places differ from the fields'
                     for g in range(meta.num_row_groups):
                         group = meta.row_group(g)
                         if not group.num_rows:
@@ -108,6 +110,11 @@ def _open(path: str) -> pq.ParquetFile:
     return pq.ParquetFile(path)
 
 
+def _rows_up_to(keys: pa.ChunkedArray, safe) -> int:
+    """How many of the sorted keys are at most ``safe``."""
+    return bisect.bisect_right(range(len(keys)), safe, key=lambda i: keys[i].as_py())
+
+
 def merge_blocks(runs: Sequence[Iterator[pa.Table]], key: str) -> Iterator[pa.Table]:
     """Stable k-way merge of sorted block streams: one block per run in memory, equal keys in run order.
 
@@ -123,7 +130,7 @@ def merge_blocks(runs: Sequence[Iterator[pa.Table]], key: str) -> Iterator[pa.Ta
         parts = []
         for i in live:
             head = heads[i]
-            n = pc.sum(pc.less_equal(head.column(key), pa.scalar(safe, head.column(key).type))).as_py()
+            n = _rows_up_to(head.column(key), safe)
             if n:
                 parts.append(head.slice(0, n))
             heads[i] = head.slice(n) if n < head.num_rows else next(runs[i], None)
@@ -142,13 +149,13 @@ def merge_sorted_files(
     key: str,
     out: str,
     target_bytes: int = TARGET_BYTES,
-    block_rows: int = 65_536,
+    block_rows: int = 262_144,
 ) -> DataFrame:
     """Merge Parquet files, each sorted by ``key``, into few files of about ``target_bytes`` below ``out``.
 
     The key space is cut into ranges by the row groups' smallest keys, about ``target_bytes`` each.  A task owns a key
-    range: it reads from every run only the row groups that overlap its range, merges them block by block, and starts a
-    new output when the current one is full.  Every row, repeated rows included, is taken exactly once; equal keys keep
+    range: it reads from every run only the row groups that overlap its range, merges them block by block (the blocks of
+    all runs together hold about ``block_rows`` rows), and starts a new output when the current one is full.  Every row, repeated rows included, is taken exactly once; equal keys keep
     the order of ``paths``.  A key that fills more than a range is held by one task but never in memory at once; a run
     with null keys is refused, since nulls have no place in a key range.
 
@@ -197,9 +204,14 @@ def _merge_range(own, key, out, target_bytes, block_rows, meta_schema) -> pa.Rec
 
     low, high = own[0]["from_key"], own[0]["to_key"]
 
+    by_run: dict[tuple, list[int]] = {}
+    for r in own:
+        by_run.setdefault((r["run"], r["path"]), []).append(r["group"])
+    share = max(16, block_rows // len(by_run))
+
     def blocks(path: str, groups: list[int]) -> Iterator[pa.Table]:
         with _open(path) as file:
-            for batch in file.iter_batches(batch_size=block_rows, row_groups=groups):
+            for batch in file.iter_batches(batch_size=share, row_groups=groups):
                 block = pa.Table.from_batches([batch])
                 keys = block.column(key)
                 keep = [pc.greater_equal(keys, pa.scalar(low, keys.type))] if low is not None else []
@@ -209,9 +221,6 @@ def _merge_range(own, key, out, target_bytes, block_rows, meta_schema) -> pa.Rec
                 if block.num_rows:
                     yield block
 
-    by_run: dict[tuple, list[int]] = {}
-    for r in own:
-        by_run.setdefault((r["run"], r["path"]), []).append(r["group"])
     filesystem, folder = fs.FileSystem.from_uri(out if "://" in out or out.startswith("file:") else f"file://{out}")
     filesystem.create_dir(folder, recursive=True)
     done, writer, sink, meta = [], None, None, None

@@ -13,8 +13,9 @@ from keelstone.operators.drift import clean_names, path_types, schema_changes
 from keelstone.operators.incremental import StateStore
 from keelstone.operators.orphans import orphan_references
 from keelstone.operators.skew import chunked_aggregate, heavy_keys, replicate_for_salt, salt_of
-from keelstone.operators.sorted_runs import plan_merges
+from keelstone.operators.sorted_runs import merge_sorted_files, plan_merges
 from keelstone.session import materialize, scratch_path
+from keelstone.sources.files import list_files
 
 NEVER = 9223372036854775807
 PARTITION = ["table_id", "range_id"]
@@ -185,6 +186,24 @@ from small where n >= 8 group by 1, 2, 3
 """
 
 
+def p2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of data_info after they were stored as many small sorted files and merged into few.
+
+    The small files are laid out by name, as a writer of many deltas would leave them; a missing path sorts as empty.
+    """
+    folder, out = scratch_path(spark, "p2-small"), scratch_path(spark, "p2-merged")
+    rows = table(spark, sf_dir, "data_info").withColumn("sort_key", F.coalesce("file_path", F.lit("")))
+    rows.repartition(64, F.xxhash64("sort_key", "write_version")).sortWithinPartitions("sort_key").write.parquet(folder)
+    paths = [f"{folder}/{name}" for name, _, _ in list_files(spark, folder)]
+    merged = merge_sorted_files(spark, paths, "sort_key", out)
+    kept = [r["path"] for r in merged.select("path").collect()]  # the new files, about one per target_bytes
+    columns = ["table_id", "range_id", "file_path", "write_version", "expire_version", "commit_id", "size"]
+    return spark.read.schema(rows.schema).parquet(*kept).select(*columns) if kept else rows.select(*columns).limit(0)
+
+
+P2_MERGED_SQL = "select table_id, range_id, file_path, write_version, expire_version, commit_id, size from data_info"
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -349,6 +368,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_plan": p2_plan,
+    "p2_merged": p2_merged,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_range_results": p4_range_results,
@@ -359,6 +379,7 @@ SQL = {
     "p1_found": P1_SQL,
     "p2_found": P2_SQL,
     "p2_plan": P2_PLAN_SQL,
+    "p2_merged": P2_MERGED_SQL,
     "p4_found": P4_SQL,
     "p4_range_results": P4_RANGES_SQL,
     "p5_found": P5_SQL,

@@ -137,7 +137,8 @@ def _write_runs(folder, runs):
     paths = []
     for i, keys in enumerate(runs):
         path = f"{folder}/run{i}.parquet"
-        table = pa.table({"key": pa.array(keys, pa.int64()), "run": pa.array([i] * len(keys), pa.int64()), "at": pa.array(range(len(keys)), pa.int64())})
+        nested = pa.array([[("a", k)] for k in keys], pa.map_(pa.string(), pa.int64()))
+        table = pa.table({"m": nested, "key": pa.array(keys, pa.int64()), "run": pa.array([i] * len(keys), pa.int64()), "at": pa.array(range(len(keys)), pa.int64())})
         pq.write_table(table, path, row_group_size=50)
         paths.append(path)
     return paths
