@@ -22,7 +22,7 @@ def is_reference(value: Column) -> Column:
 
 
 def month_of(epoch: Column) -> Column:
-    """``yyyy-MM`` of an epoch time in milliseconds or seconds; ``unknown`` if missing or not positive."""
+    """``yyyy-MM`` (UTC) of an epoch time in milliseconds or seconds; ``unknown`` if missing or not positive."""
     seconds = F.when(epoch >= SECONDS_BELOW, epoch / 1000).otherwise(epoch)
-    month = F.date_format(F.timestamp_seconds(F.floor(seconds)), "yyyy-MM")
+    month = F.date_format(F.date_from_unix_date(F.floor(seconds / 86400).cast("int")), "yyyy-MM")
     return F.when((epoch > 0) & (epoch < SECONDS_BELOW * 1000), month).otherwise("unknown")

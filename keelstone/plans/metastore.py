@@ -364,6 +364,35 @@ def p5_per_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.agg(F.countDistinct("ref_value").alias("ref_values"), F.sum("n").alias("references"))
 
 
+def _month_sql(epoch: str) -> str:
+    seconds = f"cast(floor(case when {epoch} >= 100000000000 then {epoch} / 1000 else {epoch} end) as bigint)"
+    known = f"{epoch} > 0 and {epoch} < 100000000000000"
+    return f"case when {known} then strftime(make_timestamp({seconds} * 1000000), '%Y-%m') else 'unknown' end"
+
+
+P5_MONTHS_SQL = f"""
+with d as (select * from data_info where table_id is not null and table_id not in ('', '-5')),
+x as (
+  select 'data_info.table_id' as field, table_id, table_id as ref_value, {_month_sql('modification_time')} as period from d
+  where table_id not in (select table_id from table_info where table_id is not null)
+  union all
+  select 'data_info.range_id', table_id, range_id, {_month_sql('modification_time')} from d
+  where range_id is not null and range_id not in ('', '-5')
+    and not exists (select 1 from partition_info p where p.table_id = d.table_id and p.range_id = d.range_id)
+  union all
+  select 'undo_log.commit_id', table_id, commit_id, {_month_sql('u."timestamp"')} from undo_log u
+  where commit_type not in ('commit', 'dropTable', 'dropPartition') and commit_id is not null and commit_id not in ('', '-5')
+    and not exists (select 1 from undo_log c where c.commit_type = 'commit' and c.table_id = u.table_id
+                    and c.commit_id = u.commit_id)
+  union all
+  select 'partition_info.range_id', table_id, range_id, {_month_sql('t')} from (
+    select table_id, range_id, max(last_update_timestamp) as t from partition_info p
+    where range_id is not null and range_id not in ('', '-5')
+      and not exists (select 1 from data_info y where y.table_id = p.table_id and y.range_id = p.range_id)
+    group by table_id, range_id having max(read_version) > 0))
+select field, table_id, period, count(distinct ref_value) as ref_values, count(*) as references from x group by 1, 2, 3
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -383,4 +412,5 @@ SQL = {
     "p4_found": P4_SQL,
     "p4_range_results": P4_RANGES_SQL,
     "p5_found": P5_SQL,
+    "p5_per_month": P5_MONTHS_SQL,
 }
