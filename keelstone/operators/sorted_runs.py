@@ -61,6 +61,8 @@ def _boundaries(spans: DataFrame, key: str, ranges: int) -> list:
     The ordered pass sees one short row per row group, not the data.
     """
     firsts = spans.select(F.col("lo").alias("k")).where("k is not null")
+    if dict(firsts.dtypes)["k"] in ("float", "double"):
+        firsts = firsts.where(~F.isnan("k"))  # NaN sorts last and stays in the last range
     cuts = firsts.select(F.ntile(ranges).over(Window.orderBy("k")).alias("t"), "k").groupBy("t").agg(F.min("k").alias("k"))
     return sorted({r["k"] for r in cuts.collect()})[1:]
 
@@ -68,6 +70,7 @@ def _boundaries(spans: DataFrame, key: str, ranges: int) -> list:
 def read_spans(spark: SparkSession, paths: Sequence[str], key: str, key_type: str) -> DataFrame:
     """``path, group, lo, hi, rows, bytes``: key range of every row group, read from the footers by the executors."""
     schema = f"path string, `group` int, lo {key_type}, hi {key_type}, rows long, bytes long"
+    floating = key_type in ("float", "double")
 
     def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +84,7 @@ def read_spans(spark: SparkSession, paths: Sequence[str], key: str, key_type: st
                         group = meta.row_group(g)
                         if not group.num_rows:
                             continue
-                        stats = group.column(column).statistics
+                        stats = None if floating else group.column(column).statistics  # those of floats may leave out NaN
                         if stats is not None and stats.has_min_max and not stats.null_count:
                             lo, hi = stats.min, stats.max
                         else:
@@ -110,9 +113,14 @@ def _open(path: str) -> pq.ParquetFile:
     return pq.ParquetFile(path)
 
 
-def _rows_up_to(keys: pa.ChunkedArray, safe) -> int:
-    """How many of the sorted keys are at most ``safe``."""
-    return bisect.bisect_right(range(len(keys)), safe, key=lambda i: keys[i].as_py())
+def _place(value) -> tuple:
+    """Sorts like Spark: NaN after every other value and equal to itself."""
+    return (1,) if value != value else (0, value)
+
+
+def _rows_up_to(keys: pa.ChunkedArray, safe: tuple) -> int:
+    """How many of the sorted keys have a place of at most ``safe``."""
+    return bisect.bisect_right(range(len(keys)), safe, key=lambda i: _place(keys[i].as_py()))
 
 
 def merge_blocks(runs: Sequence[Iterator[pa.Table]], key: str) -> Iterator[pa.Table]:
@@ -126,7 +134,7 @@ def merge_blocks(runs: Sequence[Iterator[pa.Table]], key: str) -> Iterator[pa.Ta
         live = [i for i, h in enumerate(heads) if h is not None]
         if not live:
             return
-        safe = min(heads[i].column(key)[-1].as_py() for i in live)
+        safe = min(_place(heads[i].column(key)[-1].as_py()) for i in live)
         parts = []
         for i in live:
             head = heads[i]
@@ -155,8 +163,8 @@ def merge_sorted_files(
 
     The key space is cut into ranges by the row groups' smallest keys, about ``target_bytes`` each.  A task owns a key
     range: it reads from every run only the row groups that overlap its range, merges them block by block (the blocks of
-    all runs together hold about ``block_rows`` rows), and starts a new output when the current one is full.  Every row, repeated rows included, is taken exactly once; equal keys keep
-    the order of ``paths``.  A key that fills more than a range is held by one task but never in memory at once; a run
+    all runs together hold about ``block_rows`` rows), and starts a new output when the current one is full.  Every row, repeated rows included, is taken exactly once, and the
+    rows written are compared with those in the footers; equal keys keep the order of ``paths``; NaN sorts last.  A key that fills more than a range is held by one task but never in memory at once; a run
     with null keys is refused, since nulls have no place in a key range.
 
     Returns the range metadata: ``path, lo, hi, rows``, one row per written file.  Output names carry the attempt, and
@@ -168,7 +176,7 @@ def merge_sorted_files(
     schema = spark.read.parquet(paths[0]).schema
     key_type = schema[key].dataType.simpleString()
     spans = materialize(read_spans(spark, paths, key, key_type), "spans")
-    total = spans.agg(F.sum("bytes").alias("b"), F.sum(F.col("lo").isNull().cast("long")).alias("nulls")).first()
+    total = spans.agg(F.sum("bytes").alias("b"), F.sum("rows").alias("rows"), F.sum(F.col("lo").isNull().cast("long")).alias("nulls")).first()
     if total["nulls"]:
         raise ValueError(f"column {key} holds nulls; sorted runs need a key in every row")
     meta_ddl = f"path string, lo {key_type}, hi {key_type}, rows long"
@@ -194,7 +202,16 @@ def merge_sorted_files(
             own = [r for r in rows if r["task"] == task]
             yield _merge_range(own, key, out, target_bytes, block_rows, meta_schema)
 
-    return materialize(work.mapInArrow(merge, meta_ddl), "merged")
+    merged = materialize(work.mapInArrow(merge, meta_ddl), "merged")
+    written = merged.agg(F.sum("rows")).first()[0] or 0
+    if written != total["rows"]:
+        raise RuntimeError(f"merge wrote {written} of {total['rows']} rows to {out}")
+    return merged
+
+
+def _at_least(keys: pa.ChunkedArray, low) -> pa.ChunkedArray:
+    reached = pc.greater_equal(keys, pa.scalar(low, keys.type))
+    return pc.or_(reached, pc.is_nan(keys)) if pa.types.is_floating(keys.type) else reached
 
 
 def _merge_range(own, key, out, target_bytes, block_rows, meta_schema) -> pa.RecordBatch:
@@ -214,7 +231,7 @@ def _merge_range(own, key, out, target_bytes, block_rows, meta_schema) -> pa.Rec
             for batch in file.iter_batches(batch_size=share, row_groups=groups):
                 block = pa.Table.from_batches([batch])
                 keys = block.column(key)
-                keep = [pc.greater_equal(keys, pa.scalar(low, keys.type))] if low is not None else []
+                keep = [_at_least(keys, low)] if low is not None else []
                 keep += [pc.less(keys, pa.scalar(high, keys.type))] if high is not None else []
                 if keep:
                     block = block.filter(reduce(pc.and_, keep))

@@ -174,6 +174,20 @@ def test_merge_is_stable_and_refuses_null_keys(spark, tmp_path):
         merge_sorted_files(spark, [], "key", f"{tmp_path}/out")
 
 
+def test_merge_keeps_nan_keys(spark, tmp_path):
+    nan, rng = float("nan"), random.Random(5)
+    runs = [sorted(rng.random() for _ in range(300)) + [nan] * n for n in (0, 3, 40)] + [[nan] * 5]
+    paths = [f"{tmp_path}/run{i}.parquet" for i in range(len(runs))]
+    for path, keys in zip(paths, runs):
+        pq.write_table(pa.table({"key": pa.array(keys, pa.float64())}), path, row_group_size=50)
+    meta = merge_sorted_files(spark, paths, "key", f"{tmp_path}/out", target_bytes=3_000, block_rows=64).collect()
+    found = [pq.read_table(m["path"].replace("file://", "")).column("key").to_pylist() for m in meta]
+    place = lambda k: (k != k, 0 if k != k else k)
+    assert len(meta) > 1 and sum(m["rows"] for m in meta) == sum(map(len, runs))
+    assert all([*map(place, keys)] == sorted(map(place, keys)) for keys in found)
+    assert sorted(place(k) for keys in found for k in keys) == sorted(place(k) for keys in runs for k in keys)
+
+
 # 3: drifting schemas
 
 
