@@ -257,14 +257,13 @@ def range_results(spark: SparkSession, sf_dir: str, name: str, key: str) -> Data
     The input partition of a row is its file block; its position there is the row's number in the file.
     """
     rows = table(spark, sf_dir, name)
-    part = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
     if "size" in rows.columns:
         known = F.when(F.col("size") > 0, F.col("size"))
         states = {"bytes": F.sum(known), "newest_version": F.max("write_version")}
     else:
         states = {"bytes": F.sum(F.lit(None).cast("long")), "newest_version": F.max("read_version")}
     merges = {"bytes": F.sum("bytes"), "newest_version": F.max("newest_version")}
-    return chunked_aggregate(rows, key, part, F.col("_metadata.row_index"), states, merges)
+    return _chunked(rows, key, states, merges)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +287,7 @@ group by range_value having count(*) * 100 >= 3 * (select count(*) from partitio
 
 
 def p4_range_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored rows, bytes and newest version of every range_id."""
+    """Stored rows, bytes over all listings and newest version of every range_id; files: :func:`p4_range_files`."""
     return range_results(spark, sf_dir, "data_info", "range_id").select("range_id", "rows", "bytes", "newest_version")
 
 
@@ -298,6 +297,70 @@ select range_id, count(*) as rows, cast(sum(size) filter (where size > 0) as big
 """
 
 
+def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``table_id, range_id, file_name, size, write_version``: each file once with its known size, however often listed.
+
+    The file name is part of the key, so a hot range is spread over tasks.  Files without table or range count too.
+    """
+    rows = table(spark, sf_dir, "data_info").where("file_path is not null")
+    rows = rows.select(*PARTITION, file_name(F.col("file_path")).alias("file_name"), "size", "write_version")
+    known = F.when(F.col("size") > 0, F.col("size"))
+    once = rows.groupBy(*PARTITION, "file_name").agg(F.max(known).alias("size"), F.max("write_version").alias("write_version"))
+    return materialize(once, "p4-files")
+
+
+def _chunked(stored: DataFrame, key: str, states: dict[str, F.Column], merges: dict[str, F.Column]) -> DataFrame:
+    """Results per key over a written table, in equal-sized chunks; see :func:`range_results`."""
+    part = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
+    return chunked_aggregate(stored, key, part, F.col("_metadata.row_index"), states, merges)
+
+
+def p4_range_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, bytes and newest version of every range_id, each file once."""
+    states = {"bytes": F.sum("size"), "newest_version": F.max("write_version")}
+    merges = {"bytes": F.sum("bytes"), "newest_version": F.max("newest_version")}
+    results = _chunked(listed_files(spark, sf_dir), "range_id", states, merges)
+    return results.select("range_id", F.col("rows").alias("files"), "bytes", "newest_version")
+
+
+_FILES_CTE = """
+files as (
+  select table_id, range_id, regexp_extract(file_path, '[^/]*$') as file_name,
+         max(size) filter (where size > 0) as size, max(write_version) as w
+  from data_info where file_path is not null group by 1, 2, 3)"""
+P4_RANGE_FILES_SQL = f"""
+with {_FILES_CTE}
+select range_id, count(*) as files, cast(sum(size) as bigint) as bytes, max(w) as newest_version from files group by range_id
+"""
+
+
+def p4_range_value_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, bytes and newest version of every range_value: those of its partitions, 0 files if they have none.
+
+    Files are first summed per partition (partial sums, so no task sees a hot partition); the hot values are then
+    aggregated over partitions in chunks.
+    """
+    per_partition = listed_files(spark, sf_dir).groupBy(*PARTITION).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.max("write_version").alias("newest_version")
+    )
+    partitions = table(spark, sf_dir, "partition_info").select(*PARTITION, "range_value").distinct()
+    stored = materialize(partitions.join(per_partition, PARTITION, "left"), "p4-partitions")
+    merges = {"files": F.sum("files"), "bytes": F.sum("bytes"), "newest_version": F.max("newest_version")}
+    results = _chunked(stored, "range_value", merges, merges)
+    return results.select("range_value", F.coalesce("files", F.lit(0)).alias("files"), "bytes", "newest_version")
+
+
+P4_RANGE_VALUE_FILES_SQL = f"""
+with {_FILES_CTE},
+per_partition as (
+  select table_id, range_id, count(*) as files, sum(size) as bytes, max(w) as newest_version from files group by 1, 2)
+select range_value, cast(coalesce(sum(files), 0) as bigint) as files, cast(sum(bytes) as bigint) as bytes,
+       max(newest_version) as newest_version
+from (select distinct table_id, range_id, range_value from partition_info) left join per_partition using (table_id, range_id)
+group by range_value
+"""
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -401,6 +464,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_range_results": p4_range_results,
+    "p4_range_files": p4_range_files,
+    "p4_range_value_files": p4_range_value_files,
     "p5_found": p5_found,
     "p5_per_month": p5_per_month,
 }
@@ -411,6 +476,8 @@ SQL = {
     "p2_merged": P2_MERGED_SQL,
     "p4_found": P4_SQL,
     "p4_range_results": P4_RANGES_SQL,
+    "p4_range_files": P4_RANGE_FILES_SQL,
+    "p4_range_value_files": P4_RANGE_VALUE_FILES_SQL,
     "p5_found": P5_SQL,
     "p5_per_month": P5_MONTHS_SQL,
 }

@@ -51,6 +51,18 @@ def test_p3_brute_force(spark, db):
     assert len(found) == len(set(found)) and set(found) == wanted and wanted
 
 
+def test_p4_counts_files_once(spark, tmp_path):
+    files = [("t", "r", "/a/f1", 10, 1), ("t", "r", "s3://b/f1", None, 1), ("t", "r", "/a/f1", 10, 1), ("t", "r", "/a/f2", 5, 3), ("t", "q", "/a/f1", 7, 2), (None, None, "/a/f9", 2, 9)]
+    ddl = "table_id string, range_id string, file_path string, size long, write_version long"
+    spark.createDataFrame(files, ddl).write.parquet(f"{tmp_path}/data_info.parquet")
+    parts = [("t", "r", "d=1"), ("t", "r", "d=1"), ("t", "q", "d=1"), ("t", "none", "d=2")]
+    spark.createDataFrame(parts, "table_id string, range_id string, range_value string").write.parquet(f"{tmp_path}/partition_info.parquet")
+    per_range = {tuple(r) for r in metastore.p4_range_files(spark, str(tmp_path)).collect()}
+    assert per_range == {("r", 2, 15, 3), ("q", 1, 7, 2), (None, 1, 2, 9)}
+    per_value = {tuple(r) for r in metastore.p4_range_value_files(spark, str(tmp_path)).collect()}
+    assert per_value == {("d=1", 3, 22, 3), ("d=2", 0, None, None)}
+
+
 def test_empty_tables(spark, tmp_path):
     for f in Path(DATA).glob("*.parquet"):
         spark.read.parquet(str(f)).limit(0).write.parquet(f"{tmp_path}/{f.name}")
