@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -183,22 +183,23 @@ def schema_changes(versions: DataFrame, table: str, order_by: Sequence[str], com
 # data files as path-value maps ----------------------------------------------------------------------------------------
 
 
+def _leaves(schema: T.StructType, prefix: list[str]) -> Iterator[tuple[list[str], T.DataType]]:
+    for field in schema.fields:
+        path = [*prefix, field.name]
+        if isinstance(field.dataType, T.StructType):
+            yield from _leaves(field.dataType, path)
+        else:
+            yield path, field.dataType
+
+
 def raw_maps(df: DataFrame, file: Column | None = None) -> DataFrame:
     """``file, row_values``: each row as a map from lower-case path to ``struct<type, value>``; nulls are left out.
 
     Structs contribute one path per inner field; arrays and maps are kept as JSON text of their raw type.  Clashing
     names that differ in case only: the first non-null one counts.
     """
-    def leaves(schema, prefix):
-        for field in schema.fields:
-            path = [*prefix, field.name]
-            if isinstance(field.dataType, T.StructType):
-                yield from leaves(field.dataType, path)
-            else:
-                yield path, field.dataType
-
     by_path: dict[str, list[Column]] = {}
-    for path, kind in leaves(df.schema, []):
+    for path, kind in _leaves(df.schema, []):
         column = F.col(".".join(f"`{p}`" for p in path))
         nested = isinstance(kind, (T.ArrayType, T.MapType))
         value = F.to_json(column) if nested else (F.base64(column) if isinstance(kind, T.BinaryType) else column.cast("string"))
@@ -216,14 +217,17 @@ def path_type_statistics(maps: DataFrame) -> DataFrame:
     return entries.groupBy("file", "path", F.col("v.type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def consistent_types(statistics: DataFrame, wanted: dict[str, str] | None = None) -> dict[str, str]:
+def consistent_types(
+    statistics: DataFrame, wanted: dict[str, str] | None = None, declared: dict[str, set[str]] | None = None
+) -> dict[str, str]:
     """One type per path: the ``wanted`` one, else the only raw type, else the widest number, else string.
 
-    The driver receives one row per path and raw type, which is the size of the schemas, not of the data.
+    A path without any value has the types that the files' schemas declare for it, if these are given.  The driver receives one row per path and raw type, which is the size of the schemas, not of the data.
     """
     seen: dict[str, set[str]] = {}
     for row in statistics.select("path", "type").distinct().collect():
         seen.setdefault(row["path"], set()).add(row["type"])
+    seen = (declared or {}) | seen
     result = {}
     for path in sorted(seen):
         kinds = {{"int": "long", "smallint": "long", "tinyint": "long", "bigint": "long", "float": "double"}.get(k, k) for k in seen[path]}
@@ -262,18 +266,22 @@ def read_unified(spark: SparkSession, paths: Sequence[str], wanted: dict[str, st
     """Parquet files of drifting schemas as one typed table (see :func:`typed_table`).
 
     Files of equal schema are read together; each schema is loaded as path-value maps, types are settled from the
-    statistics over all files, and the typed projection reports casts that fail.
+    statistics over all files, and the typed projection reports casts that fail.  A path may be a folder of files of one
+    schema.  A column that no row has a value for is there all the same.
     """
     groups: dict[str, list[str]] = {}
     for path in paths:
         groups.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
-    maps = None
+    maps, declared = None, {}
     for members in groups.values():
-        own = raw_maps(spark.read.parquet(*members))
+        df = spark.read.parquet(*members)
+        for path, kind in _leaves(df.schema, []):
+            declared.setdefault(".".join(path).lower(), set()).add(kind.simpleString())
+        own = raw_maps(df)
         maps = own if maps is None else maps.unionByName(own)
     if maps is None:
         raise ValueError("no files")
-    return typed_table(maps, consistent_types(path_type_statistics(maps), wanted))
+    return typed_table(maps, consistent_types(path_type_statistics(maps), wanted, declared))
 
 
 # names that no version declares ---------------------------------------------------------------------------------------

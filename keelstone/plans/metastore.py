@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelstone.functions.metadata import file_name, is_reference, month_of
-from keelstone.operators.drift import clean_names, path_types, schema_changes
+from keelstone.operators.drift import clean_names, path_types, read_unified, schema_changes
 from keelstone.operators.incremental import StateStore
 from keelstone.operators.orphans import orphan_references
 from keelstone.operators.skew import chunked_aggregate, heavy_keys, replicate_for_salt, salt_of
@@ -248,6 +248,48 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.unionByName(undeclared)
 
 
+def drifted_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """All rows of data_info in four folders, by write_version modulo 4, whose schemas differ as by several writers.
+
+    0 as stored; 1 names in capitals, a wider ``part``, sizes as text, implausible ones with their unit; 2 without
+    is_base_file; 3 modification_time as text and a further column.
+    """
+    rows = table(spark, sf_dir, "data_info").withColumn("part", F.pmod(F.coalesce("write_version", F.lit(0)), F.lit(4)).cast("int"))
+    size = F.when(F.col("size") > 0, F.col("size").cast("string")).otherwise(F.concat(F.col("size").cast("string"), F.lit(" bytes")))
+    wide = rows.withColumn("part", F.col("part").cast("long")).withColumn("size", size)
+    writers = [
+        rows,
+        wide.toDF(*[c.upper() for c in wide.columns]),
+        rows.drop("is_base_file"),
+        rows.withColumn("modification_time", F.col("modification_time").cast("string")).withColumn("writer", F.lit("late")),
+    ]
+    folder = scratch_path(spark, "p3-drifted")
+    for i, written in enumerate(writers):
+        written.where(F.col("part") == i).write.parquet(f"{folder}/{i}")
+    return [f"{folder}/{i}" for i in range(len(writers))]
+
+
+def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of data_info, stored as files of drifting schemas, as one typed table with the casts that failed."""
+    unified = read_unified(spark, drifted_files(spark, sf_dir), {"size": "long", "modification_time": "long"})
+    failed = F.array_join(F.transform("failed_casts", lambda c: F.concat_ws(":", c["path"], c["type"], c["value"])), ";")
+    return unified.select(
+        "table_id", "range_id", "file_path", "write_version", "expire_version", "commit_id", "size", "modification_time",
+        "file_exist_cols", "is_base_file", "part", "writer", F.to_json("hash_value").alias("hash_value"), failed.alias("failed"),
+    )
+
+
+P3_UNIFIED_SQL = """
+with x as (select *, coalesce(write_version, 0) % 4 as part from data_info)
+select table_id, range_id, file_path, write_version, expire_version, commit_id,
+       case when part <> 1 or size > 0 then size end as size, modification_time, file_exist_cols,
+       case when part <> 2 then is_base_file end as is_base_file, part, case when part = 3 then 'late' end as writer,
+       cast(to_json(hash_value) as varchar) as hash_value,
+       case when part = 1 and size <= 0 then 'size:string:' || size || ' bytes' else '' end as failed
+from x
+"""
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -462,6 +504,7 @@ QUERIES = {
     "p2_plan": p2_plan,
     "p2_merged": p2_merged,
     "p3_found": p3_found,
+    "p3_unified": p3_unified,
     "p4_found": p4_found,
     "p4_range_results": p4_range_results,
     "p4_range_files": p4_range_files,
@@ -474,6 +517,7 @@ SQL = {
     "p2_found": P2_SQL,
     "p2_plan": P2_PLAN_SQL,
     "p2_merged": P2_MERGED_SQL,
+    "p3_unified": P3_UNIFIED_SQL,
     "p4_found": P4_SQL,
     "p4_range_results": P4_RANGES_SQL,
     "p4_range_files": P4_RANGE_FILES_SQL,

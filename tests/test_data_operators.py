@@ -237,6 +237,14 @@ def test_files_of_drifting_schemas_read_as_one_table(spark, tmp_path):
     assert found == {(1, 7, 1.5, None, (), ()), (2, 8, None, "q", (1,), ()), (None, None, None, None, (), (("n", "string", "bad"),))}
 
 
+def test_unified_table_keeps_columns_without_values(spark, tmp_path):
+    spark.createDataFrame([(1, None)], "id int, empty date").write.parquet(f"{tmp_path}/a")
+    spark.createDataFrame([(2, "x")], "id long, other string").write.parquet(f"{tmp_path}/b")
+    unified = read_unified(spark, [f"{tmp_path}/a", f"{tmp_path}/b"])
+    assert dict(unified.dtypes)["empty"] == "date" and dict(unified.dtypes)["id"] == "bigint"
+    assert rows(unified.select("id", "empty", "other")) == [(1, None, None), (2, None, "x")]
+
+
 # 5: references
 
 
