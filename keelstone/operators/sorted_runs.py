@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -15,11 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from keelstone.operators.skew import running_total
-from keelstone.session import materialize
+from keelstone.session import materialize, remove_path, scratch_path
 
 TARGET_BYTES = 134_217_728
 SMALL_BYTES = 16_777_216
 MIN_FILES = 8
+#: Runs that a task merges at once; more are merged in several passes.
+FAN_IN = 32
+#: Keys sampled per ``target_bytes`` to find the cuts.
+SAMPLES = 64
 
 
 def plan_merges(
@@ -55,27 +61,48 @@ def plan_merges(
 # the merge -------------------------------------------------------------------------------------------------------------
 
 
-def _boundaries(spans: DataFrame, key: str, ranges: int) -> list:
-    """Cut points of the key space from the row groups' smallest keys; at most ``ranges - 1`` values.
+def _boundaries(spans: DataFrame, target_bytes: int) -> dict[int, list]:
+    """Cut points of each batch's key space, so that a range has about ``target_bytes``, by the sampled keys.
 
-    The ordered pass sees one short row per row group, not the data.
+    A key that fills more than a range is cut off on both sides, so its range holds little else.  The ordered pass sees
+    about ``SAMPLES`` short rows per range, not the data.
     """
-    firsts = spans.select(F.col("lo").alias("k")).where("k is not null")
-    if dict(firsts.dtypes)["k"] in ("float", "double"):
-        firsts = firsts.where(~F.isnan("k"))  # NaN sorts last and stays in the last range
-    cuts = firsts.select(F.ntile(ranges).over(Window.orderBy("k")).alias("t"), "k").groupBy("t").agg(F.min("k").alias("k"))
-    return sorted({r["k"] for r in cuts.collect()})[1:]
-
-
-def read_spans(spark: SparkSession, paths: Sequence[str], key: str, key_type: str) -> DataFrame:
-    """``path, group, lo, hi, rows, bytes``: key range of every row group, read from the footers by the executors."""
-    schema = f"path string, `group` int, lo {key_type}, hi {key_type}, rows long, bytes long"
+    ranges = spans.groupBy("batch").agg(F.greatest(F.lit(1), F.round(F.sum("bytes") / target_bytes).cast("long")).alias("ranges"))
+    keys = spans.select("batch", F.explode("keys").alias("k"))
+    if dict(keys.dtypes)["k"] in ("float", "double"):
+        keys = keys.where(~F.isnan("k"))  # NaN sorts last and stays in the last range
+    ordered, whole = Window.partitionBy("batch").orderBy("k"), Window.partitionBy("batch")
+    numbered = keys.withColumn("no", F.row_number().over(ordered) - 1).withColumn("n", F.count(F.lit(1)).over(whole))
+    tiles = numbered.join(ranges, "batch").withColumn("tile", F.floor(F.col("no") * F.col("ranges") / F.col("n")))
+    each = tiles.groupBy("batch", "k").agg(F.min("tile").alias("first"), F.max("tile").alias("last"))
+    before = each.withColumn("was", F.lag(F.struct("first", "last")).over(ordered)).where("was is not null")
+    cuts: dict[int, list] = {}
+    for r in before.where("last > was.last or was.last - was.first >= 2").select("batch", "k").collect():
+        cuts.setdefault(r["batch"], []).append(r["k"])
+    return {b: sorted(k) for b, k in cuts.items()}
+
+
+def _sampled(path: str, group: int, rows: int, expected: float) -> list[int]:
+    """Evenly spaced row numbers, ``expected`` on average; which ones depends on path and group only."""
+    chance = zlib.crc32(f"{path}#{group}".encode()) / 2**32
+    n = min(rows, int(expected + chance))
+    return [int((i + chance * 997 % 1) * rows / n) for i in range(n)]
+
+
+def read_spans(listed: DataFrame, key: str, key_type: str, target_bytes: int) -> DataFrame:
+    """``run, piece, path, group, lo, hi, rows, bytes, keys``: every row group with its key range and some of its keys.
+
+    ``listed`` has ``run, piece, path``.  The executors read footers, and the key column where keys are sampled.
+    """
+    schema = (
+        f"run int, piece long, path string, `group` int, lo {key_type}, hi {key_type}, rows long, bytes long, keys array<{key_type}>"
+    )
     floating = key_type in ("float", "double")
 
     def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path in batch.column(0).to_pylist():
+            for run, piece, path in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 with _open(path) as file:
                     meta = file.metadata
                     leaves = [meta.schema.column(i).path for i in range(meta.num_columns)]
@@ -85,18 +112,21 @@ def read_spans(spark: SparkSession, paths: Sequence[str], key: str, key_type: st
                         if not group.num_rows:
                             continue
                         stats = None if floating else group.column(column).statistics  # those of floats may leave out NaN
-                        if stats is not None and stats.has_min_max and not stats.null_count:
+                        chosen = _sampled(path, g, group.num_rows, group.total_byte_size * SAMPLES / target_bytes)
+                        known = stats is not None and stats.has_min_max and not stats.null_count
+                        keys = None if known and not chosen else file.read_row_group(g, columns=[key]).column(0)
+                        if known:
                             lo, hi = stats.min, stats.max
                         else:
-                            keys = file.read_row_group(g, columns=[key]).column(0)
                             lo, hi = (None, None) if keys.null_count else (keys[0].as_py(), keys[-1].as_py())
-                        rows.append((path, g, lo, hi, group.num_rows, group.total_byte_size))
-            columns = list(zip(*rows)) if rows else [[]] * 6
+                        sample = [keys[i].as_py() for i in chosen] if lo is not None else []
+                        rows.append((run, piece, path, g, lo, hi, group.num_rows, group.total_byte_size, sample))
+            columns = list(zip(*rows)) if rows else [[]] * 9
             yield _batch(columns, arrow)
 
+    spark = listed.sparkSession
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return listed.repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4))).mapInArrow(footers, schema)
+    return listed.repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(footers, schema)
 
 
 def _batch(columns: Sequence[Sequence], schema: pa.Schema) -> pa.RecordBatch:
@@ -118,27 +148,29 @@ def _place(value) -> tuple:
     return (1,) if value != value else (0, value)
 
 
-def _rows_up_to(keys: pa.ChunkedArray, safe: tuple) -> int:
-    """How many of the sorted keys have a place of at most ``safe``."""
-    return bisect.bisect_right(range(len(keys)), safe, key=lambda i: _place(keys[i].as_py()))
+def _rows_up_to(keys: pa.ChunkedArray, safe: tuple, included: bool) -> int:
+    """How many of the sorted keys have a place before ``safe``, or of at most ``safe``."""
+    find = bisect.bisect_right if included else bisect.bisect_left
+    return find(range(len(keys)), safe, key=lambda i: _place(keys[i].as_py()))
 
 
 def merge_blocks(runs: Sequence[Iterator[pa.Table]], key: str) -> Iterator[pa.Table]:
     """Stable k-way merge of sorted block streams: one block per run in memory, equal keys in run order.
 
-    In each step the smallest of the runs' last loaded keys is safe: every row up to it is loaded.  Those rows are cut
-    off by binary search, joined and sorted as one block; the runs that are used up load their next block.
+    In each step the smallest of the runs' last loaded keys is safe: every row before it is loaded.  The first run that
+    ends with it may go on with it in its next block, so the rows equal to it are taken up to that run only.  Those rows
+    are cut off by binary search, joined and sorted as one block; the runs that are used up load their next block.
     """
     heads: list[pa.Table | None] = [next(r, None) for r in runs]
     while True:
         live = [i for i, h in enumerate(heads) if h is not None]
         if not live:
             return
-        safe = min(_place(heads[i].column(key)[-1].as_py()) for i in live)
+        safe, first = min((_place(heads[i].column(key)[-1].as_py()), i) for i in live)
         parts = []
         for i in live:
             head = heads[i]
-            n = _rows_up_to(head.column(key), safe)
+            n = _rows_up_to(head.column(key), safe, i <= first)
             if n:
                 parts.append(head.slice(0, n))
             heads[i] = head.slice(n) if n < head.num_rows else next(runs[i], None)
@@ -158,14 +190,19 @@ def merge_sorted_files(
     out: str,
     target_bytes: int = TARGET_BYTES,
     block_rows: int = 262_144,
+    fan_in: int = FAN_IN,
 ) -> DataFrame:
     """Merge Parquet files, each sorted by ``key``, into few files of about ``target_bytes`` below ``out``.
 
-    The key space is cut into ranges by the row groups' smallest keys, about ``target_bytes`` each.  A task owns a key
+    At most ``fan_in`` runs are merged at once.  If there are more, a pass merges each batch of ``fan_in`` neighbours into
+    one longer run in the scratch folder, until one batch is left; every pass reads and writes each row once.
+
+    In a pass the key space of a batch is cut into ranges of about ``target_bytes`` by sampled keys.  A task owns a key
     range: it reads from every run only the row groups that overlap its range, merges them block by block (the blocks of
-    all runs together hold about ``block_rows`` rows), and starts a new output when the current one is full.  Every row, repeated rows included, is taken exactly once, and the
-    rows written are compared with those in the footers; equal keys keep the order of ``paths``; NaN sorts last.  A key that fills more than a range is held by one task but never in memory at once; a run
-    with null keys is refused, since nulls have no place in a key range.
+    all runs together hold about ``block_rows`` rows), and starts a new output when the current one is full.  Every row,
+    repeated rows included, is taken exactly once, and in each pass the rows written are compared with those in the
+    footers; equal keys keep the order of ``paths``; NaN sorts last.  A key that fills more than a range is held by one
+    task but never in memory at once; a run with null keys is refused, since nulls have no place in a key range.
 
     Returns the range metadata: ``path, lo, hi, rows``, one row per written file.  Output names carry the attempt, and
     only the returned files count: those of a failed or repeated attempt are leftovers to be cleaned up.
@@ -173,40 +210,60 @@ def merge_sorted_files(
     paths = list(paths)
     if not paths:
         raise ValueError("no files to merge")
-    schema = spark.read.parquet(paths[0]).schema
-    key_type = schema[key].dataType.simpleString()
-    spans = materialize(read_spans(spark, paths, key, key_type), "spans")
-    total = spans.agg(F.sum("bytes").alias("b"), F.sum("rows").alias("rows"), F.sum(F.col("lo").isNull().cast("long")).alias("nulls")).first()
-    if total["nulls"]:
-        raise ValueError(f"column {key} holds nulls; sorted runs need a key in every row")
-    meta_ddl = f"path string, lo {key_type}, hi {key_type}, rows long"
-    meta_schema = to_arrow_schema(spark.createDataFrame([], meta_ddl).schema)
-    if not total["b"]:
-        return spark.createDataFrame([], meta_ddl)
-    cuts = _boundaries(spans, key, max(1, round(total["b"] / target_bytes)))
-    edges = [None, *cuts, None]
-    tasks = spark.createDataFrame(
-        [(i, edges[i], edges[i + 1]) for i in range(len(edges) - 1)], f"task int, from_key {key_type}, to_key {key_type}"
-    )
-    rank = spark.createDataFrame(list(enumerate(paths)), "run int, path string")
+    if fan_in < 2:
+        raise ValueError("a merge takes at least two runs")
+    key_type = spark.read.parquet(paths[0]).schema[key].dataType.simpleString()
+    runs, used = len(paths), None
+    listed = spark.createDataFrame([(i, 0, p) for i, p in enumerate(paths)], "run int, piece long, path string")
+    while True:
+        spans = materialize(read_spans(listed, key, key_type, target_bytes), "spans")
+        total = spans.agg(
+            F.sum("bytes").alias("b"), F.sum("rows").alias("rows"), F.sum(F.col("lo").isNull().cast("long")).alias("nulls")
+        ).first()
+        if total["nulls"]:
+            raise ValueError(f"column {key} holds nulls; sorted runs need a key in every row")
+        if not total["b"]:
+            return spark.createDataFrame([], f"path string, lo {key_type}, hi {key_type}, rows long")
+        folder = out if runs <= fan_in else scratch_path(spark, "merge-pass")
+        merged = _merge_pass(spans, runs, key, key_type, folder, target_bytes, block_rows, fan_in)
+        written = merged.agg(F.sum("rows")).first()[0] or 0
+        if written != total["rows"]:
+            raise RuntimeError(f"merge wrote {written} of {total['rows']} rows to {folder}")
+        if used:
+            remove_path(spark, used)
+        if runs <= fan_in:
+            return merged.select("path", "lo", "hi", "rows")
+        listed, runs, used = merged.select("run", "piece", "path"), -(-runs // fan_in), folder
+
+
+def _merge_pass(spans, runs, key, key_type, folder, target_bytes, block_rows, fan_in) -> DataFrame:
+    """``run, piece, path, lo, hi, rows`` of the files to which each batch of ``fan_in`` neighbouring runs is merged."""
+    spark = spans.sparkSession
+    spans = spans.withColumn("batch", F.floor(F.col("run") / fan_in).cast("int"))
+    cuts = _boundaries(spans, target_bytes)
+    ranges = []
+    for batch in range(-(-runs // fan_in)):
+        edges = [None, *cuts.get(batch, []), None]
+        ranges += [(batch, len(ranges) + i, edges[i], edges[i + 1]) for i in range(len(edges) - 1)]
+    tasks = spark.createDataFrame(ranges, f"batch int, task int, from_key {key_type}, to_key {key_type}")
     inside = (F.col("to_key").isNull() | (F.col("lo") < F.col("to_key"))) & (
         F.col("from_key").isNull() | (F.col("hi") >= F.col("from_key"))
     )
-    work = spans.join(rank, "path").join(F.broadcast(tasks), inside)  # tasks: total bytes / target_bytes rows
-    work = work.select("task", "from_key", "to_key", "run", "path", "group").repartition(len(edges) - 1, "task")
-    work = work.sortWithinPartitions("task", "run", "group")
+    work = spans.join(F.broadcast(tasks), "batch").where(inside)  # tasks: total bytes / target_bytes rows
+    work = work.select("batch", "task", "from_key", "to_key", "run", "piece", "path", "group").repartition(len(ranges), "task")
+    work = work.sortWithinPartitions("task", "run", "piece", "group")
+    meta_ddl = f"run int, piece long, path string, lo {key_type}, hi {key_type}, rows long"
+    meta_schema = to_arrow_schema(spark.createDataFrame([], meta_ddl).schema)
+    # a later pass reads parts of a run, so the row groups of its input are small
+    group_rows = min(65_536, block_rows) if runs <= fan_in else max(16, block_rows // fan_in)
+    codec = "snappy" if runs <= fan_in else "zstd"
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]  # row-group descriptions, not data
-        for task in dict.fromkeys(r["task"] for r in rows):
-            own = [r for r in rows if r["task"] == task]
-            yield _merge_range(own, key, out, target_bytes, block_rows, meta_schema)
+        for _, own in itertools.groupby(rows, lambda r: r["task"]):
+            yield _merge_range(list(own), key, folder, target_bytes, block_rows, fan_in, group_rows, codec, meta_schema)
 
-    merged = materialize(work.mapInArrow(merge, meta_ddl), "merged")
-    written = merged.agg(F.sum("rows")).first()[0] or 0
-    if written != total["rows"]:
-        raise RuntimeError(f"merge wrote {written} of {total['rows']} rows to {out}")
-    return merged
+    return materialize(work.mapInArrow(merge, meta_ddl), "merged")
 
 
 def _at_least(keys: pa.ChunkedArray, low) -> pa.ChunkedArray:
@@ -214,41 +271,56 @@ def _at_least(keys: pa.ChunkedArray, low) -> pa.ChunkedArray:
     return pc.or_(reached, pc.is_nan(keys)) if pa.types.is_floating(keys.type) else reached
 
 
-def _merge_range(own, key, out, target_bytes, block_rows, meta_schema) -> pa.RecordBatch:
+def _merge_range(own, key, out, target_bytes, block_rows, fan_in, group_rows, codec, meta_schema) -> pa.RecordBatch:
     import os
 
     from pyarrow import fs
 
-    low, high = own[0]["from_key"], own[0]["to_key"]
-
-    by_run: dict[tuple, list[int]] = {}
+    batch, task, low, high = (own[0][c] for c in ("batch", "task", "from_key", "to_key"))
+    by_run: dict[int, dict[str, list[int]]] = {}
     for r in own:
-        by_run.setdefault((r["run"], r["path"]), []).append(r["group"])
+        by_run.setdefault(r["run"], {}).setdefault(r["path"], []).append(r["group"])
+    if len(by_run) > fan_in:
+        raise RuntimeError(f"{len(by_run)} runs to merge at once")
     share = max(16, block_rows // len(by_run))
 
-    def blocks(path: str, groups: list[int]) -> Iterator[pa.Table]:
-        with _open(path) as file:
-            for batch in file.iter_batches(batch_size=share, row_groups=groups):
-                block = pa.Table.from_batches([batch])
-                keys = block.column(key)
-                keep = [_at_least(keys, low)] if low is not None else []
-                keep += [pc.less(keys, pa.scalar(high, keys.type))] if high is not None else []
-                if keep:
-                    block = block.filter(reduce(pc.and_, keep))
-                if block.num_rows:
-                    yield block
+    def blocks(pieces: dict[str, list[int]]) -> Iterator[pa.Table]:
+        for path, groups in pieces.items():
+            with _open(path) as file:
+                for part in file.iter_batches(batch_size=share, row_groups=groups):
+                    block = pa.Table.from_batches([part])
+                    keys = block.column(key)
+                    keep = [_at_least(keys, low)] if low is not None else []
+                    keep += [pc.less(keys, pa.scalar(high, keys.type))] if high is not None else []
+                    if keep:
+                        block = block.filter(reduce(pc.and_, keep))
+                    if block.num_rows:
+                        yield block
+
+    def row_groups() -> Iterator[pa.Table]:
+        held, n = [], 0
+        for block in merge_blocks([blocks(p) for _, p in sorted(by_run.items())], key):
+            for at in range(0, block.num_rows, group_rows):
+                held.append(block.slice(at, group_rows))
+                n += held[-1].num_rows
+                if n >= group_rows:
+                    yield pa.concat_tables(held)
+                    held, n = [], 0
+        if held:
+            yield pa.concat_tables(held)
 
     filesystem, folder = fs.FileSystem.from_uri(out if "://" in out or out.startswith("file:") else f"file://{out}")
     filesystem.create_dir(folder, recursive=True)
     done, writer, sink, meta = [], None, None, None
-    for block in merge_blocks([blocks(p, g) for (_, p), g in sorted(by_run.items())], key):
+    for block in row_groups():
         if writer is None:
-            name = f"part-{own[0]['task']:05d}-{uuid.uuid4().hex}.parquet"
+            name = f"part-{task:05d}-{uuid.uuid4().hex}.parquet"
             sink = filesystem.open_output_stream(os.path.join(folder, name))
-            writer = pq.ParquetWriter(sink, block.schema, compression="snappy")
-            meta = [f"{out.rstrip('/')}/{name}", block.column(key)[0].as_py(), None, 0]
+            writer = pq.ParquetWriter(sink, block.schema, compression=codec)
+            place = (task << 32) + len(done)  # pieces of a run in key order
+            meta = [batch, place, f"{out.rstrip('/')}/{name}", block.column(key)[0].as_py(), None, 0]
         writer.write_table(block)
-        meta[2], meta[3] = block.column(key)[-1].as_py(), meta[3] + block.num_rows
+        meta[4], meta[5] = block.column(key)[-1].as_py(), meta[5] + block.num_rows
         if sink.tell() >= target_bytes:
             writer.close(), sink.close()
             done.append(meta)
@@ -256,5 +328,5 @@ def _merge_range(own, key, out, target_bytes, block_rows, meta_schema) -> pa.Rec
     if writer is not None:
         writer.close(), sink.close()
         done.append(meta)
-    columns = list(zip(*done)) if done else [[]] * 4
+    columns = list(zip(*done)) if done else [[]] * 6
     return _batch(columns, meta_schema)

@@ -14,13 +14,16 @@ from keelstone.operators.incremental import StateStore
 from keelstone.operators.orphans import orphan_references
 from keelstone.operators.skew import chunked_aggregate, heavy_keys, replicate_for_salt, salt_of
 from keelstone.operators.sorted_runs import merge_sorted_files, plan_merges
-from keelstone.session import materialize, scratch_path
+from keelstone.session import materialize, scratch_path, shuffles_dropped
 from keelstone.sources.files import list_files
 
 NEVER = 9223372036854775807
 PARTITION = ["table_id", "range_id"]
 #: Least share of a table's rows that makes a value frequent (problem 4), in per cent.
 FREQUENT_PER_CENT = 3
+#: Rows of a small file and bytes of a merged one in p2_merged, so that the test tables give many files and several ranges.
+MERGED_FILE_ROWS = 2_000
+MERGED_BYTES = 8_388_608
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -190,12 +193,16 @@ def p2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of data_info after they were stored as many small sorted files and merged into few.
 
     The small files are laid out by name, as a writer of many deltas would leave them; a missing path sorts as empty.
+    Each spans the whole key range, and their number grows with the table, beyond what a task merges at once.
     """
     folder, out = scratch_path(spark, "p2-small"), scratch_path(spark, "p2-merged")
     rows = table(spark, sf_dir, "data_info").withColumn("sort_key", F.coalesce("file_path", F.lit("")))
-    rows.repartition(64, F.xxhash64("sort_key", "write_version")).sortWithinPartitions("sort_key").write.parquet(folder)
+    files = max(64, rows.count() // MERGED_FILE_ROWS)
+    small = rows.repartition(files, F.xxhash64("sort_key", "write_version")).sortWithinPartitions("sort_key")
+    with shuffles_dropped(spark):
+        small.write.parquet(folder)
     paths = [f"{folder}/{name}" for name, _, _ in list_files(spark, folder)]
-    merged = merge_sorted_files(spark, paths, "sort_key", out)
+    merged = merge_sorted_files(spark, paths, "sort_key", out, MERGED_BYTES)
     kept = [r["path"] for r in merged.select("path").collect()]  # the new files, about one per target_bytes
     columns = ["table_id", "range_id", "file_path", "write_version", "expire_version", "commit_id", "size"]
     return spark.read.schema(rows.schema).parquet(*kept).select(*columns) if kept else rows.select(*columns).limit(0)

@@ -188,6 +188,30 @@ def test_merge_keeps_nan_keys(spark, tmp_path):
     assert sorted(place(k) for keys in found for k in keys) == sorted(place(k) for keys in runs for k in keys)
 
 
+def test_merge_keeps_run_order_across_blocks():
+    runs = [iter([pa.table({"key": k, "run": [r] * len(k)}) for k in blocks]) for r, blocks in enumerate(([[1, 2], [2, 2]], [[2, 2], [2, 3]]))]
+    merged = pa.concat_tables(merge_blocks(runs, "key"))
+    assert list(zip(*merged.to_pydict().values())) == [(1, 0), (2, 0), (2, 0), (2, 0), (2, 1), (2, 1), (2, 1), (3, 1)]
+
+
+def test_merge_of_many_runs_in_passes_with_even_ranges(spark, tmp_path):
+    rng = random.Random(7)
+    runs = [sorted([0, *(rng.choice([500, rng.randrange(1, 1000)]) for _ in range(38)), 1000]) for _ in range(37)]
+    paths = _write_runs(tmp_path, runs)
+    size = sum(pq.read_metadata(p).row_group(0).total_byte_size for p in paths)
+    meta = merge_sorted_files(spark, paths, "key", f"{tmp_path}/out", target_bytes=size // 10, block_rows=256, fan_in=4).collect()
+    of_task = {}
+    for m in sorted(meta, key=lambda m: m["path"]):
+        task = m["path"].rsplit("/", 1)[1].split("-")[1]
+        of_task[task] = of_task.get(task, 0) + m["rows"]
+    files = [pq.read_table(m["path"].replace("file://", "")) for m in meta]
+    files = [[*zip(*(t.column(c).to_pylist() for c in ("key", "run", "at")))] for t in files]
+    found = [row for rows_of_file in sorted(files) for row in rows_of_file]
+    hot = sum(keys.count(500) for keys in runs)
+    assert found == sorted((k, r, i) for r, keys in enumerate(runs) for i, k in enumerate(keys))
+    assert len(of_task) >= 4 and max(of_task.values()) < hot + len(found) / 5
+
+
 # 3: drifting schemas
 
 
