@@ -29,6 +29,8 @@ ENTRY = T.StructType(
         T.StructField("id", T.StringType()),
     ]
 )
+#: Values that a typed table could not take.
+FAILED = "array<struct<path:string,type:string,value:string>>"
 CHANGE = T.StructType([T.StructField("change", T.StringType()), T.StructField("field_name", T.StringType())])
 
 
@@ -193,10 +195,10 @@ def _leaves(schema: T.StructType, prefix: list[str]) -> Iterator[tuple[list[str]
 
 
 def raw_maps(df: DataFrame, file: Column | None = None) -> DataFrame:
-    """``file, row_values``: each row as a map from lower-case path to ``struct<type, value>``; nulls are left out.
+    """``file, row_values, clashes``: each row as a map from lower-case path to ``struct<type, value>``; nulls are left out.
 
-    Structs contribute one path per inner field; arrays and maps are kept as JSON text of their raw type.  Clashing
-    names that differ in case only: the first non-null one counts.
+    Structs contribute one path per inner field; arrays and maps are kept as JSON text of their raw type, binary values
+    as base64.  Of names that differ in case only, the first non-null one counts; ``clashes`` has the other values.
     """
     by_path: dict[str, list[Column]] = {}
     for path, kind in _leaves(df.schema, []):
@@ -207,8 +209,14 @@ def raw_maps(df: DataFrame, file: Column | None = None) -> DataFrame:
         by_path.setdefault(".".join(path).lower(), []).append(F.when(column.isNotNull(), entry))
     entries = [F.struct(F.lit(p).alias("key"), F.coalesce(*c).alias("value")) for p, c in by_path.items()]
     present = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
+    lost = []
+    for path, columns in by_path.items():
+        first = F.coalesce(*columns)
+        other = [F.when(c["value"] != first["value"], F.struct(F.lit(path).alias("path"), c["type"].alias("type"), c["value"].alias("value"))) for c in columns[1:]]
+        lost += other
+    clashes = F.filter(F.array(*lost), lambda e: e.isNotNull()) if lost else F.array().cast(FAILED)
     source = file if file is not None else F.input_file_name()
-    return df.select(source.alias("file"), F.map_from_entries(present).alias("row_values"))
+    return df.select(source.alias("file"), F.map_from_entries(present).alias("row_values"), clashes.alias("clashes"))
 
 
 def path_type_statistics(maps: DataFrame) -> DataFrame:
@@ -242,23 +250,39 @@ def consistent_types(
     return result
 
 
+def _typed(raw: Column, value: Column, kind: str) -> Column:
+    """A path's value as ``kind``; null if it does not fit or would be rounded."""
+    if kind.startswith(("array", "map")):
+        return F.from_json(value, kind)
+    as_bytes = F.when(raw == "binary", F.unbase64(value))
+    if kind == "binary":
+        return F.coalesce(as_bytes, value.cast("binary"))
+    text = F.when(raw != "binary", value).when(F.is_valid_utf8(as_bytes.cast("string")), as_bytes.cast("string"))
+    cast = text.try_cast(kind)
+    if kind in ("float", "double"):
+        whole = raw.isin("tinyint", "smallint", "int", "bigint")
+        kept = (cast < F.lit(2.0**63)) & (cast.try_cast("long") == value.try_cast("long"))
+        return F.when(~whole | kept, cast)
+    return cast
+
+
 def typed_table(maps: DataFrame, types: dict[str, str]) -> DataFrame:
     """``file``, one typed column per path (dots become ``__``), and ``failed_casts``.
 
-    ``failed_casts`` is an array of ``struct<path, type, value>`` for the values that do not fit their column; they read
-    as null there and are reported instead of being lost.
+    ``failed_casts`` is an array of ``struct<path, type, value>`` for the values that do not fit their column, whole
+    numbers that a floating column would round among them; they read as null there and are reported instead of being
+    lost.  The values of clashing names are reported too.
     """
     fit, failed = [], []
     for path, kind in types.items():
         entry = F.col("row_values")[path]
-        if kind.startswith(("array", "map")):
-            cast = F.from_json(entry["value"], kind)
-        else:
-            cast = entry["value"].try_cast(kind)
+        cast = _typed(entry["type"], entry["value"], kind)
         fit.append(cast.alias(path.replace(".", "__")))
         bad = entry["value"].isNotNull() & cast.isNull()
         failed.append(F.when(bad, F.struct(F.lit(path).alias("path"), entry["type"].alias("type"), entry["value"].alias("value"))))
     problems = F.filter(F.array(*failed), lambda e: e.isNotNull()) if failed else F.expr("array()")
+    if "clashes" in maps.columns:
+        problems = F.concat(problems.cast(FAILED), "clashes")
     return maps.select("file", *fit, problems.alias("failed_casts"))
 
 

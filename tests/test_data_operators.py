@@ -269,6 +269,24 @@ def test_unified_table_keeps_columns_without_values(spark, tmp_path):
     assert rows(unified.select("id", "empty", "other")) == [(1, None, None), (2, None, "x")]
 
 
+def test_unified_table_changes_no_value_silently(spark, tmp_path):
+    longs = [(1, 2**53 + 1, bytearray(b"a\xff")), (2, 2**62, None), (3, 2**63 - 1, bytearray(b"")), (4, -(2**63), None)]
+    spark.createDataFrame(longs, "id int, n long, b binary").write.parquet(f"{tmp_path}/a")
+    spark.createDataFrame([(5, 0.5)], "id int, n double").write.parquet(f"{tmp_path}/b")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        spark.createDataFrame([(6, "x", "y"), (7, "z", "z"), (8, None, "w")], "id int, v string, V string").write.parquet(f"{tmp_path}/c")
+        unified = read_unified(spark, [f"{tmp_path}/{x}" for x in "abc"])
+        found = {r["id"]: (r["n"], r["b"], r["v"], [tuple(c) for c in r["failed_casts"]]) for r in unified.collect()}
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    assert found == {
+        1: (None, b"a\xff", None, [("n", "bigint", str(2**53 + 1))]), 2: (2.0**62, None, None, []),
+        3: (None, b"", None, [("n", "bigint", str(2**63 - 1))]), 4: (-(2.0**63), None, None, []), 5: (0.5, None, None, []),
+        6: (None, None, "x", [("v", "string", "y")]), 7: (None, None, "z", []), 8: (None, None, "w", []),
+    }
+
+
 # 5: references
 
 
