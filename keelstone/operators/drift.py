@@ -160,7 +160,9 @@ def schema_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def schema_changes(versions: DataFrame, table: str, order_by: Sequence[str], commit: str, schema: str) -> DataFrame:
+def schema_changes(
+    versions: DataFrame, table: str, order_by: Sequence[str], commit: str, schema: str, skip_unreadable: bool = False
+) -> DataFrame:
     """``table, commit, change, field_name``: each change between consecutive schema versions of a table.
 
     ``versions`` holds each version once; ``schema`` is Spark's JSON.  If all top-level fields of both versions have
@@ -169,11 +171,15 @@ def schema_changes(versions: DataFrame, table: str, order_by: Sequence[str], com
     parent with the same type other than struct are one renamed field.  Structs are compared field by field; an added,
     removed or replaced struct counts once.  Case, order, nullability, comments and synonyms of types are no changes.
 
-    A missing schema is no version and is skipped; an unreadable one is not compared with its neighbours.  Versions are numbered by exact offsets and each is
-    joined with its predecessor, so a table with very many versions is spread over tasks.  No versions give no rows.
+    A missing schema is no version and is skipped.  So is an unreadable one with ``skip_unreadable``, and the next version
+    is compared with the last readable one; otherwise it is not compared with its neighbours.  Versions are numbered by
+    exact offsets and each is joined with its predecessor, so a table with very many versions is spread over tasks.  No
+    versions give no rows.
     """
     readable = versions.select(table, commit, *[c for c in order_by if c != commit], schema)
     readable = readable.where(F.trim(F.col(schema)) != "")
+    if skip_unreadable:
+        readable = readable.where(path_types(schema).isNotNull())
     numbered = running_total(readable, [table], order_by, None, "_no")
     keyed = numbered.select(table, commit, "_no", schema)
     before = keyed.select(table, (F.col("_no") + 1).alias("_no"), F.col(schema).alias("_old"))

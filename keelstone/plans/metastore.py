@@ -236,7 +236,7 @@ def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of fields between consecutive schema versions, and columns of files that no version declares."""
     versions = materialize(schema_versions(spark, sf_dir), "p3-versions")
-    changes = schema_changes(versions, "table_id", ["place"], "commit_id", "table_schema")
+    changes = schema_changes(versions, "table_id", ["place"], "commit_id", "table_schema", skip_unreadable=True)
 
     tracked = versions.where("commit_id <> 'table_info'").select("table_id").distinct()
     entries = versions.join(tracked, "table_id", "left_semi").select(

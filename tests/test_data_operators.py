@@ -252,6 +252,13 @@ def test_schema_changes_over_versions(spark):
     assert schema_changes(df.limit(0), "table_id", ["v"], "commit_id", "s").count() == 0
 
 
+def test_unreadable_schemas_hide_no_change(spark):
+    texts = [json.dumps(schema(("a", "int"))), "{broken", "[]", json.dumps(schema(("a", "long"))), "", json.dumps(schema(("a", "long"), ("b", "int")))]
+    df = spark.createDataFrame([("t", f"c{i}", i, s) for i, s in enumerate(texts)], "table_id string, commit_id string, v int, s string")
+    found = rows(schema_changes(df, "table_id", ["v"], "commit_id", "s", skip_unreadable=True))
+    assert found == [("t", "c3", "retyped", "a"), ("t", "c5", "added", "b")]
+
+
 def test_files_of_drifting_schemas_read_as_one_table(spark, tmp_path):
     spark.createDataFrame([(1, "7", 1.5)], "id int, n string, x double").write.parquet(f"{tmp_path}/a")
     spark.createDataFrame([(2, 8, "q", [1])], "ID long, n int, extra string, tags array<int>").write.parquet(f"{tmp_path}/b")

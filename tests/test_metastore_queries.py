@@ -51,6 +51,19 @@ def test_p3_brute_force(spark, db):
     assert len(found) == len(set(found)) and set(found) == wanted and wanted
 
 
+def test_p3_finds_changes_across_an_unreadable_version(spark, tmp_path):
+    text = lambda kind: json.dumps({"type": "struct", "fields": [{"name": "a", "type": kind, "nullable": True, "metadata": {}}]})
+    versions = [("c1", 1, text("integer")), ("c2", 2, "{broken"), ("c3", 3, text("long"))]
+    log = [(k, "t", c, v, s if k == "schema" else None, -1) for c, v, s in versions for k in ("commit", "schema")]
+    ddl = "commit_type string, table_id string, commit_id string, write_version long, table_schema string, tag int"
+    spark.createDataFrame(log, ddl).write.parquet(f"{tmp_path}/undo_log.parquet")
+    spark.createDataFrame([], "table_id string, table_schema string, read_version int").write.parquet(f"{tmp_path}/table_info.parquet")
+    files = [("t", "c1", "a"), ("t", "c3", "A, x")]
+    spark.createDataFrame(files, "table_id string, commit_id string, file_exist_cols string").write.parquet(f"{tmp_path}/data_info.parquet")
+    found = sorted(map(tuple, metastore.p3_found(spark, str(tmp_path)).collect()))
+    assert found == [("t", "c3", "retyped", "a"), ("t", "c3", "undeclared", "x")]
+
+
 def test_p4_counts_files_once(spark, tmp_path):
     files = [("t", "r", "/a/f1", 10, 1), ("t", "r", "s3://b/f1", None, 1), ("t", "r", "/a/f1", 10, 1), ("t", "r", "/a/f2", 5, 3), ("t", "q", "/a/f1", 7, 2), (None, None, "/a/f9", 2, 9)]
     ddl = "table_id string, range_id string, file_path string, size long, write_version long"
