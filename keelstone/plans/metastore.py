@@ -164,7 +164,7 @@ group by table_id, range_id having count(*) >= 8
 
 
 def p2_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outputs of the consolidation plan with their new bookkeeping: a compacted partition has no deltas left."""
+    """The outputs of the consolidation plan with the versions they cover; delta_file_num and be_compacted are not planned."""
     plan = merge_plan(spark, sf_dir)
     return plan.select(
         *PARTITION, "output_no", "files", "bytes",
