@@ -13,13 +13,45 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
+from keelstone.operators.skew import unused_names
 from keelstone.session import _filesystem
 
 KINDS = ("added", "changed", "removed", "unchanged")
+#: Names of the state's own columns.
+RESERVED = ("_h1", "_h2", "_kind", "_key", "_old", "_new")
+
+
+def quoted(name: str) -> str:
+    """A column name as it is, whatever signs it holds."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def hash_parts(value: Column, kind: DataType) -> list[Column]:
+    """Columns whose hashes together tell any two different values of this type apart.
+
+    Spark's hash skips nulls, runs the elements of nested arrays together and takes no maps.  So every level says whether
+    it is null and how many elements it has, and a map is an array of entries in order of its keys.  Values are hashed
+    as what they are, not as text: the session's time zone plays no part, and values that print alike stay apart.
+    """
+    null = value.isNull()
+    if isinstance(kind, StructType):
+        inner = [p for f in kind.fields for p in hash_parts(value.getField(f.name), f.dataType)]
+        return [null, *inner]
+    if isinstance(kind, ArrayType):
+        return [null, F.size(value), F.transform(value, lambda x: F.struct(*hash_parts(x, kind.elementType)))]
+    if isinstance(kind, MapType):
+        def entry(e: Column) -> Column:
+            key, item = hash_parts(e["key"], kind.keyType), hash_parts(e["value"], kind.valueType)
+            return F.struct(F.struct(*key), F.struct(*item))
+
+        return [null, F.size(value), F.array_sort(F.transform(F.map_entries(value), entry))]
+    if isinstance(kind, VariantType):
+        return [null, F.to_json(value)]
+    return [null, value]
 
 
 class StateConflict(RuntimeError):
@@ -41,6 +73,9 @@ class StateStore:
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
         if not self.keys:
             raise ValueError("a state needs at least one key column")
+        if clash := [k for k in self.keys if k.lower() in RESERVED]:
+            raise ValueError(f"reserved names as keys: {', '.join(clash)}")
+        self._keys = [quoted(k) for k in self.keys]
 
     # versions -----------------------------------------------------------------------------------------------------
 
@@ -77,20 +112,21 @@ class StateStore:
     def hashed(self, df: DataFrame, content: Sequence[str], unique: bool = False) -> DataFrame:
         """``keys + _h1 + _h2``: one row per key with a 128-bit hash of its content columns.
 
-        Nulls hash by their place, so a null and an empty value differ.  Several rows of a key are taken as a set: the
-        hash depends on the different contents, not on their number or order.  ``unique=True`` promises one row per key
-        and saves that step.  Columns that are neither keys nor content are ignored, whatever their names.
+        Contents are hashed by type (see :func:`hash_parts`), so nulls, empty values, nested values that print alike and
+        moved element borders all differ; a changed type of a column changes every row.  Values that SQL takes as equal
+        (0.0 and -0.0) are equal.  Several rows of a key are taken as a set: the hash depends on the different contents,
+        not on their number or order.  ``unique=True`` promises one row per key and saves that step.  Columns that are
+        neither keys nor content are ignored, whatever their names.
         """
-        marks = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content]
-        nulls = [F.col(c).isNull() for c in content]
-        h1, h2 = F.xxhash64(F.lit(1), *marks, *nulls), F.xxhash64(F.lit(2), *nulls, *marks)
-        rows = df.select(*self.keys, h1.alias("_h1"), h2.alias("_h2"))
+        parts = [p for c in content for p in hash_parts(F.col(quoted(c)), df.schema[c].dataType)]
+        h1, h2 = F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *reversed(parts))
+        rows = df.select(*self._keys, h1.alias("_h1"), h2.alias("_h2"))
         if unique:
             return rows
         wide = "decimal(20,0)"
-        sums = rows.distinct().groupBy(*self.keys)
+        sums = rows.distinct().groupBy(*self._keys)
         sums = sums.agg(F.sum(F.col("_h1").cast(wide)).alias("_s1"), F.sum(F.col("_h2").cast(wide)).alias("_s2"))
-        return sums.select(*self.keys, F.xxhash64("_s1").alias("_h1"), F.xxhash64("_s2").alias("_h2"))
+        return sums.select(*self._keys, F.xxhash64("_s1").alias("_h1"), F.xxhash64("_s2").alias("_h2"))
 
     def state(self, version: Version | None = None) -> DataFrame | None:
         """Keys and hashes after the newest (or the given) version; None before the first."""
@@ -120,8 +156,8 @@ class StateStore:
             outcome = new.withColumn("_kind", F.lit("added"))
         else:
             side = F.struct(F.lit(True).alias("here"), "_h1", "_h2")
-            old = self.state(last).select(F.struct(*self.keys).alias("_key"), side.alias("_old"))
-            new = new.select(F.struct(*self.keys).alias("_key"), side.alias("_new"))
+            old = self.state(last).select(F.struct(*self._keys).alias("_key"), side.alias("_old"))
+            new = new.select(F.struct(*self._keys).alias("_key"), side.alias("_new"))
             both = old.join(new, "_key", "full")
             kind = (
                 F.when(F.col("_old").isNull(), "added")
@@ -148,6 +184,7 @@ class StateStore:
     def process(self, current: DataFrame, content: Sequence[str], run_id: str) -> DataFrame:
         """The rows of ``current`` that are new or changed since the last committed run, all columns kept."""
         version = self.run(current, content, run_id)
-        wanted = self.changes(version).where("_kind <> 'removed'").select(F.struct(*self.keys).alias("_key"))
-        rows = current.withColumn("_key", F.struct(*self.keys))
-        return rows.join(wanted, "_key", "left_semi").drop("_key")
+        (key,) = unused_names(current, 1)
+        wanted = self.changes(version).where("_kind <> 'removed'").select(F.struct(*self._keys).alias(key))
+        rows = current.withColumn(key, F.struct(*self._keys))
+        return rows.join(wanted, key, "left_semi").drop(key)

@@ -82,8 +82,11 @@ def watched_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(last.alias("last"), done)
         .select("query_id", *PARTITION, F.col("last.end_version").alias("version_read"))
     )
-    subscribed = progress.select("query_id", "table_id").distinct()
-    watched = subscribed.join(current_versions(spark, sf_dir), "table_id").join(read, ["query_id", *PARTITION], "left")
+    partitions = current_versions(spark, sf_dir)
+    large = heavy_keys(partitions.select("table_id"), ["table_id"])  # tables with a large share of all partitions
+    partitions = partitions.withColumn("_salt", salt_of([F.col("table_id")], [F.col("range_id")], large))
+    subscribed = replicate_for_salt(progress.select("query_id", "table_id").distinct(), ["table_id"], large)
+    watched = subscribed.join(partitions, ["table_id", "_salt"]).drop("_salt").join(read, ["query_id", *PARTITION], "left")
     return watched.withColumn("version_read", F.coalesce("version_read", F.lit(0)))
 
 

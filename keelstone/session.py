@@ -20,16 +20,28 @@ _TO_DROP: dict[str, SparkSession] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """URI of a folder that driver and executors share; created on first use."""
+    """URI of a folder for intermediate data that driver and executors share; created on first use.
+
+    A cluster must name it: a folder of one machine would lose the rows that the executors of other machines write.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="keelstone-"))
         atexit.register(_remove_local_root)
     return "file://" + _LOCAL_ROOT[0]
 
 
+def warehouse(spark: SparkSession) -> str:
+    """URI of the lasting folder of tables without a location and of their names; never below the intermediate data."""
+    chosen = spark.conf.get("spark.keelstone.warehouse", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return qualified(chosen).rstrip("/")
+
+
 def _remove_local_root() -> None:
     import shutil
 
