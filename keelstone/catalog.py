@@ -1,7 +1,7 @@
 """Names, DDL and a small SQL front end.
 
 Names of tables are kept as small files in a folder (``spark.keelstone.catalog.dir``, by default ``_names`` in the
-shared folder); a file is created exclusively, so a name belongs to one path.
+warehouse); a file is created exclusively, so a name belongs to one path.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from keelstone import sqltext
 from keelstone.errors import EngineError, NotFoundError, SchemaError, UnsupportedError
 from keelstone.lake import Table, check_properties
-from keelstone.session import _filesystem, local_path, qualified, remove_path, shared_root
+from keelstone.operators import merge as merging
+from keelstone.session import _filesystem, local_path, qualified, remove_path, warehouse
 from keelstone.sources import schema as schemas
 from keelstone.sources.log import CommitLog, Meta
 
@@ -24,7 +26,7 @@ from keelstone.sources.log import CommitLog, Meta
 
 
 def _folder(spark: SparkSession) -> str:
-    return qualified(spark.conf.get("spark.keelstone.catalog.dir", f"{shared_root(spark)}/_names"))
+    return qualified(spark.conf.get("spark.keelstone.catalog.dir", f"{warehouse(spark)}/_names"))
 
 
 def names(spark: SparkSession) -> dict[str, str]:
@@ -52,16 +54,18 @@ def register_name(spark: SparkSession, name: str, path: str) -> None:
     if not re.fullmatch(r"\w+", name):
         raise EngineError(f"not a table name: {name}")
     if not _names_log(spark)._create(f"{name.lower()}.json", json.dumps({"path": path})):
-        if names(spark)[name.lower()] != path:
+        if lookup(spark, name) != path:
             raise EngineError(f"the name {name} belongs to another table")
 
 
 def lookup(spark: SparkSession, name: str) -> str:
     plain = name.strip("`").split(".")[-1].lower()
-    known = names(spark)
-    if plain not in known:
-        raise NotFoundError(f"no table {name}")
-    return known[plain]
+    try:
+        return json.loads(_names_log(spark)._read(f"{plain}.json"))["path"]
+    except Exception as e:  # one of the file system's own kinds of "not found"
+        if plain in names(spark):
+            raise
+        raise NotFoundError(f"no table {name}") from e
 
 
 def forget_path(spark: SparkSession, path: str) -> None:
@@ -186,16 +190,33 @@ def describe(spark: SparkSession, table: Table) -> DataFrame:
 # inserts by position ---------------------------------------------------------------------------------------------------
 
 
-def insert_into(table: Table, data: DataFrame, overwrite: bool = False, static: dict[str, str] | None = None, by_name: bool = False) -> None:
+def insert_into(
+    table: Table, data: DataFrame, overwrite: bool = False, static: dict[str, str] | None = None, by_name: bool = False,
+    columns: list[str] | None = None,
+) -> None:
     """SQL's INSERT: columns by position with casts; ``static`` partition values complete the rows and, with
-    ``overwrite``, name the partitions to replace. Keyed tables take the rows as an upsert unless they overwrite."""
+    ``overwrite``, name the partitions to replace. With ``columns`` the rows fill these, and the others become null.
+    Keyed tables take the rows as an upsert unless they overwrite."""
     from pyspark.sql import functions as F
 
     meta, static = table.meta, static or {}
     from keelstone.sources.files import output_columns
 
-    wanted = [c for c in output_columns(meta) if c.lower() not in {k.lower() for k in static}]
-    if not by_name:
+    own = {c.lower(): c for c in output_columns(meta)}
+    unknown = [c for c in [*static, *(columns or [])] if c.lower() not in own]
+    if unknown:
+        raise NotFoundError(f"no column {', '.join(unknown)}")
+    static = {own[k.lower()]: v for k, v in static.items()}
+    wanted = [c for c in output_columns(meta) if c not in static]
+    if columns is not None:
+        chosen = [own[c.lower()] for c in columns]
+        if len(set(chosen)) < len(chosen) or set(chosen) & set(static):
+            raise SchemaError(f"a column is given twice: {', '.join(columns)}")
+        if len(chosen) != len(data.columns):
+            raise SchemaError(f"{len(data.columns)} values given for {len(chosen)} columns")
+        data = data.toDF(*chosen)
+        data = data.withColumns({c: F.lit(None).cast(meta.struct[c].dataType) for c in wanted if c not in chosen} or {})
+    elif not by_name:
         if len(wanted) != len(data.columns):
             raise SchemaError(f"{len(data.columns)} columns given, {len(wanted)} expected")
         data = data.toDF(*wanted)
@@ -203,7 +224,7 @@ def insert_into(table: Table, data: DataFrame, overwrite: bool = False, static:
     data = data.select(*[F.col(f"`{c}`").cast(kinds.get(c, data.schema[c].dataType)).alias(c) for c in data.columns])
     data = data.withColumns({k: F.lit(v).cast(kinds[k]) for k, v in static.items()} or {})
     if overwrite:
-        where = " AND ".join(f"`{k}` = '{v}'" for k, v in static.items()) or None
+        where = " AND ".join(f"`{k}` = {sqltext.literal(v)}" for k, v in static.items()) or None
         table.write(data, "overwrite", replace_where=where)
     elif meta.keyed:
         table.upsert(data)
@@ -256,87 +277,111 @@ def write_to(spark: SparkSession, data: DataFrame, target: str) -> WriterV2:
 
 # SQL -------------------------------------------------------------------------------------------------------------------
 
-_ID = r"(?:keel\s*\.\s*)?(`[^`]+`|\w+)"
+#: The catalog in front of a table's name in SQL.
+PREFIX = "keel"
+_ID = r"keel\s*\.\s*(`(?:[^`]|``)+`|\w+)"
+_ALIAS = r"(?:\s+as\s+(\w+)|\s+(?!set\b|where\b)(\w+))?"
 _REFUSED = [
-    (r"create\s+table\s+\S+\s+like\b", "CREATE TABLE LIKE"),
+    (r"create\s+table\s+(?:if\s+not\s+exists\s+)?\S+\s+like\b", "CREATE TABLE LIKE"),
     (r"analyze\s+table\b", "ANALYZE"),
     (r"alter\s+table\s+\S+\s+(add|drop|recover)\s+(if\s+(not\s+)?exists\s+)?partition", "partition DDL"),
     (r"msck\b", "partition recovery"),
     (r"alter\s+table\s+\S+\s+set\s+serde", "SERDE properties"),
     (r"load\s+data\b", "LOAD DATA"),
     (r"insert\s+overwrite\s+(local\s+)?directory\b", "INSERT OVERWRITE DIRECTORY"),
-    (r"alter\s+table\s+\S+\s+rename\b", "RENAME"),
+    (r"alter\s+table\s+\S+\s+rename\s+to\b", "RENAME"),
     (r"alter\s+table\s+\S+\s+set\s+location\b", "SET LOCATION"),
     (r"create\s+or\s+replace\s+table\b|replace\s+table\b", "REPLACE TABLE"),
 ]
 
 
-def _strings(text: str) -> dict[str, str]:
-    pairs = re.findall(r"""['"]?([\w.]+)['"]?\s*=\s*(?:'([^']*)'|"([^"]*)"|([\w.+-]+))""", text)
-    return {k: a or b or c for k, a, b, c in pairs}
-
-
 def _target(spark: SparkSession, identifier: str) -> Table:
-    plain = identifier.strip("`")
+    plain = sqltext.unquoted(identifier)
     return Table.forPath(spark, plain) if "/" in plain else Table.forName(spark, plain)
 
 
+def _merge_calls(spark: SparkSession, text: str) -> tuple[str, dict[str, dict[str, str]]]:
+    """``merge_<operator>(column)`` calls replaced by the column, and the operators by table and column."""
+    calls: dict[str, str] = {}
+
+    def take(found) -> str:
+        column = sqltext.unquoted(found[2].split(".")[-1]).lower()
+        if calls.setdefault(column, found[1].lower()) != found[1].lower():
+            raise EngineError(f"two merge operators for {column}")
+        return found[2]
+
+    out, at = [], 0
+    for m in re.finditer(r"\bmerge_(\w+)\s*\(\s*((?:\w+\s*\.\s*)?(?:`[^`]+`|\w+))\s*\)", sqltext.masked(text), re.I):
+        found = sqltext.Match(text, m)
+        if found[1].lower() in merging.OPERATORS:
+            out += [text[at : m.start()], take(found)]
+            at = m.end()
+    if not calls:
+        return text, {}
+    tables: list[str] = []
+    sqltext.replace_tables(text, PREFIX, lambda name: tables.append(name) or "")
+    chosen: dict[str, dict[str, str]] = {}
+    for column, operator in calls.items():
+        owners = [t for t in dict.fromkeys(tables) if column in {n.lower() for n in _target(spark, f"`{t}`").meta.struct.names}]
+        if len(owners) != 1:
+            raise EngineError(f"{column} is a column of {len(owners)} of the tables, not of one")
+        chosen.setdefault(owners[0], {})[column] = operator
+    return "".join([*out, text[at:]]), chosen
+
+
 def _with_views(spark: SparkSession, text: str) -> str:
     """``text`` with every table of ours replaced by a temporary view of its rows."""
-    known = names(spark)
+    text, operators = _merge_calls(spark, text)
 
-    def path_view(match) -> str:
-        view = f"_keel_{uuid.uuid4().hex}"
-        Table.forPath(spark, match.group(1)).toDF().createOrReplaceTempView(view)
+    def view_of(name: str) -> str:
+        table, merge = _target(spark, f"`{name}`"), operators.get(name)
+        plain = re.fullmatch(r"\w+", name) and not merge
+        view = f"_keel_{name.lower()}" if plain else f"_keel_{uuid.uuid4().hex}"
+        table.toDF(merge=merge).createOrReplaceTempView(view)
         return view
 
-    text = re.sub(r"keel\s*\.\s*`([^`]+)`", path_view, text, flags=re.I)
+    return sqltext.replace_tables(text, PREFIX, view_of)
 
-    def name_view(match) -> str:
-        name = match.group(1).lower()
-        if name not in known:
-            raise NotFoundError(f"no table {name}")
-        view = f"_keel_{name}"
-        Table.forPath(spark, known[name]).toDF().createOrReplaceTempView(view)
-        return f"{view}{'' if match.group(2) else ''}"
 
-    return re.sub(r"\bkeel\s*\.\s*(\w+)\b()", name_view, text, flags=re.I)
+def _conditions(alias: str | None, *texts: str | None) -> list[str | None]:
+    return [t if t is None or alias is None else sqltext.without_alias(t, alias) for t in texts]
 
 
 def sql(spark: SparkSession, text: str) -> DataFrame | None:
     """Run a statement. Tables of this engine are ``keel.name`` or ``keel.`/path```; all else is Spark's.
 
     DELETE, UPDATE, INSERT, CREATE / ALTER / DROP TABLE and DESCRIBE on such tables are carried out here; queries are
-    answered from materialized views where one holds the answer.
+    answered from materialized views where one holds the answer.  ``merge_<operator>(column)`` in a query reads the column
+    merged by that operator.
     """
-    statement = text.strip().rstrip(";").strip()
-    flags = re.I | re.S
-    if re.search(r"\bkeel\s*\.", statement, flags):
+    statement = sqltext.without_comments(text).strip().rstrip(";").strip()
+    match = lambda pattern: sqltext.match(pattern, statement)
+    if sqltext.has_table(statement, PREFIX):
         for pattern, what in _REFUSED:
-            if re.match(pattern, statement, flags):
+            if match(pattern):
                 raise UnsupportedError(f"{what} is not supported")
-        if m := re.match(rf"delete\s+from\s+{_ID}(?:\s+where\s+(.*))?$", statement, flags):
-            _target(spark, m[1]).delete(m[2])
+        if m := match(rf"delete\s+from\s+{_ID}{_ALIAS}(?:\s+where\s+(.*))?$"):
+            _target(spark, m[1]).delete(*_conditions(m[2] or m[3], m[4]))
             return None
-        if m := re.match(rf"update\s+{_ID}\s+set\s+(.*?)(?:\s+where\s+(.*))?$", statement, flags):
-            _target(spark, m[1]).update(m[3], _assigned(m[2]))
+        if m := match(rf"update\s+{_ID}{_ALIAS}\s+set\s+(.*?)(?:\s+where\s+(.*))?$"):
+            assigned, condition = _conditions(m[2] or m[3], m[4], m[5])
+            _target(spark, m[1]).update(condition, _assigned(assigned))
             return None
-        if m := re.match(rf"insert\s+(into|overwrite)\s+(?:table\s+)?{_ID}(?:\s+partition\s*\(([^)]*)\))?\s*(.*)$", statement, flags):
-            rows = sql(spark, m[4])
-            insert_into(_target(spark, m[2]), rows, m[1].lower() == "overwrite", _strings(m[3]) if m[3] else None)
+        if m := match(rf"insert\s+(into|overwrite)\s+(?:table\s+)?{_ID}(?:\s+partition\s*\(([^)]*)\))?\s*(.*)$"):
+            _insert(spark, _target(spark, m[2]), m[1].lower() == "overwrite", m[3], m[4])
             return None
-        if m := re.match(rf"drop\s+table\s+(if\s+exists\s+)?{_ID}$", statement, flags):
+        if m := match(rf"drop\s+table\s+(if\s+exists\s+)?{_ID}$"):
             try:
                 _target(spark, m[2]).dropTable()
             except NotFoundError:
                 if not m[1]:
                     raise
             return None
-        if m := re.match(rf"desc(?:ribe)?\s+(?:table\s+)?(?:extended\s+)?{_ID}$", statement, flags):
+        if m := match(rf"desc(?:ribe)?\s+(?:table\s+)?(?:extended\s+)?{_ID}$"):
             return describe(spark, _target(spark, m[1]))
-        if m := re.match(rf"create\s+table\s+(if\s+not\s+exists\s+)?{_ID}\s*(.*)$", statement, flags):
+        if m := match(rf"create\s+table\s+(if\s+not\s+exists\s+)?{_ID}\s*(.*)$"):
             return _create(spark, bool(m[1]), m[2], m[3])
-        if m := re.match(rf"alter\s+table\s+{_ID}\s+(.*)$", statement, flags):
+        if m := match(rf"alter\s+table\s+{_ID}\s+(.*)$"):
             _alter(_target(spark, m[1]), m[2])
             return None
     from keelstone.plans.views import answer
@@ -344,93 +389,85 @@ def sql(spark: SparkSession, text: str) -> DataFrame | None:
     return answer(spark, statement, lambda s: spark.sql(_with_views(spark, s)))
 
 
-def _split(text: str) -> list[str]:
-    """A comma list, split outside brackets and quotes."""
-    parts, depth, quote, start = [], 0, "", 0
-    for i, c in enumerate(text):
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "'\"`":
-            quote = c
-        elif c in "(<":
-            depth += 1
-        elif c in ")>":
-            depth -= 1 if depth else 0
-        elif c == "," and not depth:
-            parts.append(text[start:i])
-            start = i + 1
-    return [p.strip() for p in [*parts, text[start:]] if p.strip()]
+def _insert(spark: SparkSession, table: Table, overwrite: bool, partition: str | None, rest: str) -> None:
+    columns, by_name, listed = None, False, sqltext.bracketed(rest)
+    if listed is not None and not re.match(r"\s*(select|with|values|from|table|\()", sqltext.masked(listed), re.I):
+        columns = [sqltext.unquoted(c) for c in sqltext.split(listed)]
+        rest = rest[rest.index(listed) + len(listed) + 1 :]
+    elif m := sqltext.match(r"by\s+name\s+(.*)$", rest):
+        by_name, rest = True, m[1]
+    static = sqltext.pairs(partition) if partition else None
+    insert_into(table, sql(spark, rest), overwrite, static, by_name, columns)
 
 
 def _assigned(text: str) -> dict[str, str]:
-    return {k.strip(): v.strip() for k, v in (part.split("=", 1) for part in _split(text))}
+    return {k: v for k, v in (sqltext.split(part, "=", 1) for part in sqltext.split(text))}
 
 
 def _create(spark: SparkSession, if_not_exists: bool, identifier: str, rest: str):
-    flags = re.I | re.S
-    query = re.search(r"\bas\s+(select\b.*|with\b.*)$", rest, flags)
+    query = sqltext.match(r"\bas\s+((?:select|with)\b.*)$", rest, anywhere=True)
     head = rest[: query.start()] if query else rest
-    columns = re.match(r"\s*\((.*?)\)\s*(?=using|partitioned|clustered|location|tblproperties|comment|$)", head, flags)
-    tail = head[columns.end() :] if columns else head
-    if re.search(r"clustered\s+by|into\s+\d+\s+buckets", tail, flags):
+    columns = sqltext.bracketed(head)
+    tail = head[head.index(columns) + len(columns) + 1 :] if columns is not None else head
+    clause = lambda pattern: sqltext.match(pattern, tail, anywhere=True)
+    if clause(r"clustered\s+by|into\s+\d+\s+buckets"):
         raise UnsupportedError("bucketing in DDL is not supported; use hash partitions")
-    parts = re.search(r"partitioned\s+by\s*\(([^()]*)\)", tail, flags)
-    if re.search(r"partitioned\s+by", tail, flags) and not parts:
+    parts = clause(r"partitioned\s+by\s*\(([^()]*)\)")
+    if clause(r"partitioned\s+by") and not parts:
         raise UnsupportedError("partitioning by expressions is not supported")
-    place = re.search(r"location\s+'([^']*)'", tail, flags)
-    props = re.search(r"tblproperties\s*\(([^)]*)\)", tail, flags)
-    note = re.search(r"comment\s+'([^']*)'", tail, flags)
-    plain = identifier.strip("`")
+    place, props, note = clause(r"location\s+('[^']*'|\"[^\"]*\")"), clause(r"tblproperties\s*\(([^)]*)\)"), clause(r"comment\s+('[^']*'|\"[^\"]*\")")
+    plain = sqltext.unquoted(identifier)
     by_path = "/" in plain
-    path = plain if by_path else (place[1] if place else f"{spark.conf.get('spark.keelstone.warehouse', shared_root(spark) + '/_tables')}/{plain.lower()}")
-    ranges = _split(parts[1]) if parts else []
-    properties = _strings(props[1]) if props else {}
+    path = plain if by_path else (sqltext.unquoted(place[1]) if place else f"{warehouse(spark)}/{plain.lower()}")
+    ranges = [sqltext.unquoted(c) for c in sqltext.split(parts[1])] if parts else []
+    properties = sqltext.pairs(props[1]) if props else {}
     if if_not_exists and Table.isTable(spark, path):
         return None
     layout = {k: properties.pop(k, None) for k in ("hashPartitions", "hashBucketNum")}
     hashes, buckets = layout["hashPartitions"], layout["hashBucketNum"]
     short = None if by_path else plain.lower()
     if query:
-        if columns:
+        if columns is not None:
             raise UnsupportedError("CREATE TABLE AS takes no column list")
         Table(spark, path).write(sql(spark, query[1]), "error", range_partitions=ranges, hash_partitions=hashes,
                                  bucket_num=int(buckets) if buckets else None, short_name=short, properties=properties)
         return None
-    if not columns:
+    if columns is None:
         raise SchemaError("a table needs columns")
-    create_table(spark, path, columns[1], range_partitions=ranges, hash_partitions=_split(hashes or ""), bucket_num=int(buckets) if buckets else None,
-                 name=short, properties=properties, comment=note[1] if note else None, if_not_exists=if_not_exists)
+    create_table(spark, path, columns, range_partitions=ranges, hash_partitions=sqltext.split(hashes or ""), bucket_num=int(buckets) if buckets else None,
+                 name=short, properties=properties, comment=sqltext.unquoted(note[1]) if note else None, if_not_exists=if_not_exists)
     return None
 
 
+def _type(text: str) -> T.DataType:
+    return T.StructType.fromDDL(f"x {text}")["x"].dataType
+
+
 def _alter(table: Table, action: str) -> None:
-    flags = re.I | re.S
-    if m := re.match(r"set\s+tblproperties\s*\((.*)\)$", action, flags):
-        set_properties(table, _strings(m[1]))
-    elif m := re.match(r"unset\s+tblproperties\s+(if\s+exists\s+)?\((.*)\)$", action, flags):
-        unset_properties(table, [k.strip().strip("'\"`") for k in _split(m[2])], bool(m[1]))
-    elif m := re.match(r"add\s+columns?\s*\((.*)\)$", action, flags):
-        add_columns(table, [_column(c) for c in _split(m[1])])
-    elif m := re.match(r"add\s+columns?\s+(.*)$", action, flags):
-        add_columns(table, [_column(c) for c in _split(m[1])])
-    elif m := re.match(r"(?:alter|change)\s+(?:column\s+)?([\w.`]+)\s+(.*)$", action, flags):
+    match = lambda pattern, text: sqltext.match(pattern, text)
+    if m := match(r"set\s+tblproperties\s*\((.*)\)$", action):
+        set_properties(table, sqltext.pairs(m[1]))
+    elif m := match(r"unset\s+tblproperties\s+(if\s+exists\s+)?\((.*)\)$", action):
+        unset_properties(table, [sqltext.unquoted(k) for k in sqltext.split(m[2])], bool(m[1]))
+    elif m := match(r"add\s+columns?\s*\((.*)\)$", action) or match(r"add\s+columns?\s+(.*)$", action):
+        add_columns(table, [_column(c) for c in sqltext.split(m[1])])
+    elif m := match(r"(?:alter|change)\s+(?:column\s+)?([\w.`]+)\s+(.*)$", action):
         name, rest = m[1].replace("`", ""), m[2]
-        if n := re.match(r"comment\s+'(.*)'$", rest, flags):
-            change_column(table, name, comment=n[1])
-        elif n := re.match(r"(first|after\s+\S+)$", rest, flags):
+        if n := match(r"comment\s+(.*)$", rest):
+            change_column(table, name, comment=sqltext.unquoted(n[1]))
+        elif n := match(r"(first|after\s+\S+)$", rest):
             change_column(table, name, position=n[1])
-        elif re.match(r"drop\s+not\s+null$", rest, flags):
+        elif match(r"drop\s+not\s+null$", rest):
             change_column(table, name, nullable=True)
-        elif re.match(r"set\s+not\s+null$", rest, flags):
+        elif match(r"set\s+not\s+null$", rest):
             change_column(table, name, nullable=False)
-        elif n := re.match(r"type\s+(.*)$", rest, flags):
-            change_column(table, name, kind=T.StructType.fromDDL(f"x {n[1]}")["x"].dataType)
+        elif n := match(r"type\s+(.*)$", rest):
+            change_column(table, name, kind=_type(n[1]))
         else:
             new, _, kind = rest.partition(" ")
             column = _column(f"{new} {kind}")
-            change_column(table, name, new_name=new.strip("`"), kind=T.StructType.fromDDL(f"x {column['type']}")["x"].dataType,
-                          comment=column.get("comment"), position=column.get("position"))
-    elif m := re.match(r"replace\s+columns\s*\((.*)\)$", action, flags):
+            change_column(table, name, new_name=new.strip("`"), kind=_type(column["type"]), comment=column.get("comment"), position=column.get("position"))
+    elif m := match(r"replace\s+columns\s*\((.*)\)$", action):
         replace_columns(table, T.StructType.fromDDL(m[1]))
     else:
         raise UnsupportedError(f"ALTER TABLE ... {action}")
@@ -441,10 +478,10 @@ def _column(text: str) -> dict:
     if not m:
         raise SchemaError(f"not a column: {text}")
     rest, column = m[2], {"name": m[1].replace("`", "")}
-    if n := re.search(r"\s+(first|after\s+\S+)\s*$", rest, re.I):
+    if n := sqltext.match(r"\s+(first|after\s+\S+)\s*$", rest, anywhere=True):
         column["position"], rest = n[1], rest[: n.start()]
-    if n := re.search(r"\s+comment\s+'([^']*)'", rest, re.I):
-        column["comment"], rest = n[1], rest[: n.start()] + rest[n.end() :]
-    if n := re.search(r"\s+not\s+null\b", rest, re.I):
+    if n := sqltext.match(r"\s+comment\s+('[^']*'|\"[^\"]*\")", rest, anywhere=True):
+        column["comment"], rest = sqltext.unquoted(n[1]), rest[: n.start()] + rest[n.end() :]
+    if n := sqltext.match(r"\s+not\s+null\b", rest, anywhere=True):
         column["nullable"], rest = False, rest[: n.start()]
     return column | {"type": rest.strip()}

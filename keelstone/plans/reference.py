@@ -36,7 +36,11 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh_name() -> str:
+def fresh_name(spark: SparkSession) -> str:
+    """A name for a table that lives as long as the query; unless told otherwise, such names are no lasting ones."""
+    for key, label in (("spark.keelstone.catalog.dir", "names"), ("spark.keelstone.warehouse", "tables")):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, scratch_path(spark, label))
     return f"t{uuid.uuid4().hex[:12]}"
 
 
@@ -114,7 +118,7 @@ def bucket_prune(spark, sf_dir):
 
 @query("select n_nationkey, n_name, n_regionkey from nation where n_regionkey in (0, 2)")
 def insert_sql(spark, sf_dir):
-    name = fresh_name()
+    name = fresh_name(spark)
     source(spark, sf_dir, "nation").createOrReplaceTempView("nation_rows")
     catalog.sql(spark, f"create table keel.{name} (n_nationkey int, n_name string, n_regionkey int) partitioned by (n_regionkey)")
     for region in (0, 2):
@@ -124,10 +128,10 @@ def insert_sql(spark, sf_dir):
 
 @query("select n_name, r_name from nation join region on n_regionkey = r_regionkey")
 def create_table_as_select(spark, sf_dir):
-    name, other = fresh_name(), fresh_name()
+    name, other = fresh_name(spark), fresh_name(spark)
     plain(spark, sf_dir, "nation", table_name=name)
     plain(spark, sf_dir, "region", table_name=other)
-    target = fresh_name()
+    target = fresh_name(spark)
     catalog.sql(spark, f"create table keel.{target} as select n_name, r_name from keel.{name} join keel.{other} on n_regionkey = r_regionkey")
     return Table.forName(spark, target).toDF()
 
@@ -364,7 +368,7 @@ def schema_overwrite(spark, sf_dir):
 
 @query("select r_regionkey, r_name, null::varchar as note from region")
 def alter_add_column(spark, sf_dir):
-    name = fresh_name()
+    name = fresh_name(spark)
     plain(spark, sf_dir, "region", table_name=name)
     catalog.sql(spark, f"alter table keel.{name} add columns (note string comment 'added later')")
     return catalog.sql(spark, f"select r_regionkey, r_name, note from keel.{name}")
@@ -378,8 +382,8 @@ def _bucketed_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     lines = source(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
     table = Table(spark, scratch_path(spark, "lines"))
     table.write(lines.where("l_orderkey % 4 <> 0"), hash_partitions="l_orderkey", bucket_num=8)
-    left = orders.as_bucketed(fresh_name(), scratch_path(spark, "bucketed"))
-    return left, table.as_bucketed(fresh_name(), scratch_path(spark, "bucketed"))
+    left = orders.as_bucketed(fresh_name(spark), scratch_path(spark, "bucketed"))
+    return left, table.as_bucketed(fresh_name(spark), scratch_path(spark, "bucketed"))
 
 
 _LINES = "(select l_orderkey, count(*) as lines, round(sum(l_quantity), 2) as quantity from lineitem where l_orderkey % 4 <> 0 group by 1)"
@@ -489,7 +493,7 @@ def agg_distinct(spark, sf_dir):
 
 
 def _grouping(spark: SparkSession, sf_dir: str, clause: str) -> DataFrame:
-    name = fresh_name()
+    name = fresh_name(spark)
     plain(spark, sf_dir, "orders", table_name=name)
     return catalog.sql(spark, f"select o_orderstatus, o_orderpriority, count(*) as n from keel.{name} group by {clause}")
 
@@ -648,7 +652,7 @@ def stream_window_watermark(spark, sf_dir):
 
 
 def _view(spark: SparkSession, text: str, question: str, must: bool = True) -> DataFrame:
-    views.create_view(spark, fresh_name(), scratch_path(spark, "view"), text)
+    views.create_view(spark, fresh_name(spark), scratch_path(spark, "view"), text)
     found = views.rewritten(spark, question)
     if found is None and must:
         raise RuntimeError("the view should answer the query")
@@ -656,7 +660,7 @@ def _view(spark: SparkSession, text: str, question: str, must: bool = True) -> D
 
 
 def _named(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, str]:
-    made = {n: fresh_name() for n in names}
+    made = {n: fresh_name(spark) for n in names}
     for n, short in made.items():
         keyed_orders(spark, sf_dir, short) if n == "orders" else plain(spark, sf_dir, n, table_name=short)
     return made
@@ -666,7 +670,7 @@ def _named(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, str]:
 def mv_create(spark, sf_dir):
     t = _named(spark, sf_dir, "orders")["orders"]
     path = scratch_path(spark, "view")
-    views.create_view(spark, fresh_name(), path, f"select o_orderkey, o_totalprice from keel.{t} where o_totalprice > 100000")
+    views.create_view(spark, fresh_name(spark), path, f"select o_orderkey, o_totalprice from keel.{t} where o_totalprice > 100000")
     return Table.forPath(spark, path).toDF()
 
 
@@ -674,7 +678,7 @@ def mv_create(spark, sf_dir):
 def mv_update(spark, sf_dir):
     t = _named(spark, sf_dir, "orders")["orders"]
     path = scratch_path(spark, "view")
-    view = views.create_view(spark, fresh_name(), path, f"select o_orderkey, o_totalprice as p from keel.{t} where o_totalprice > 100000")
+    view = views.create_view(spark, fresh_name(spark), path, f"select o_orderkey, o_totalprice as p from keel.{t} where o_totalprice > 100000")
     Table.forName(spark, t).upsert(doubled(spark, sf_dir))
     view.updateMaterialView()
     return view.toDF()

@@ -387,6 +387,63 @@ def test_sql_statements(spark, tmp_path, settings):
     run("drop table if exists keel.t")
 
 
+def test_sql_text_is_read_as_tokens(spark, tmp_path, settings):
+    settings("spark.keelstone.catalog.dir", f"{tmp_path}/names")
+    settings("spark.keelstone.warehouse", f"{tmp_path}/house")
+    run = lambda text: catalog.sql(spark, text)
+    run("create table keel.t (k int comment 'it''s (a) key', v string, `where` int) tblproperties ('hashPartitions'='k', 'hashBucketNum'='2', 'note'='x, (y) = z')")
+    assert Table.forName(spark, "t").meta.properties["note"] == "x, (y) = z"
+    run("insert into keel.t (k, v) values (1, 'a where b'), (2, 'keel.t')")
+    run("insert into keel.t (`where`, v, k) select 7, 'x', 3  -- from keel.none")
+    run("insert into keel.t by name select 'n' as v, 4 as k, 1 as `where`")
+    assert rows(run("select k, v, `where` from keel.t")) == [(1, "a where b", None), (2, "keel.t", None), (3, "x", 7), (4, "n", 1)]
+    assert run("select 'keel.tt' as x, \"keel.tt\" as y from keel.t limit 1").first() == ("keel.tt", "keel.tt")
+    assert run("select /* keel.none */ count(*) as n from keel . `t` -- keel.none").first()["n"] == 4
+    run("update keel.t as t set t.v = 'x where y, z = 1', `where` = 5 where t.k = 1 and v = 'a where b'")
+    run("delete from keel.t x where x.v = 'keel.t' or x.v = 'a'")
+    assert rows(run("select k, v, `where` from keel.t")) == [(1, "x where y, z = 1", 5), (3, "x", 7), (4, "n", 1)]
+    run("create table keel.p (k int, p string) partitioned by (p)")
+    run("insert into keel.p partition (p = 'it''s') values (1)")
+    run("insert overwrite keel.p partition (P = \"it's\") (k) values (2)")
+    assert rows(run("select k, p from keel.p")) == [(2, "it's")]
+    for bad in ("insert into keel.t (k, k) values (1, 2)", "insert into keel.t (k, v) values (1)"):
+        with pytest.raises(SchemaError):
+            run(bad)
+    with pytest.raises(NotFoundError):
+        run("insert into keel.t (k, w) values (1, 2)")
+    run("create table keel.c (k int, n int) tblproperties ('hashPartitions'='k', 'hashBucketNum'='2')")
+    run("insert into keel.c values (1, 10), (2, 20)")
+    run("insert into keel.c values (1, 5)")
+    assert rows(run("select c.k, merge_sum(n) as n from keel.c as c")) == [(1, 15), (2, 20)]
+    assert rows(run("select k, n from keel.c")) == [(1, 5), (2, 20)]
+    with pytest.raises(EngineError):
+        run("select merge_sum(n), merge_last(n) from keel.c")
+    with pytest.raises(EngineError):
+        run("select merge_sum(zz) from keel.c")
+
+
+def test_tables_without_location_outlast_the_session(spark, tmp_path, settings):
+    from keelstone.session import shared_root, warehouse
+
+    settings("spark.keelstone.warehouse", f"{tmp_path}/house")
+    catalog.sql(spark, "create table keel.lasting (k int)")
+    assert Table.forName(spark, "lasting").path == f"file://{tmp_path}/house/lasting"
+    assert list((tmp_path / "house" / "_names").glob("lasting.json"))
+    spark.conf.unset("spark.keelstone.warehouse")
+    assert not warehouse(spark).startswith(shared_root(spark))
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from keelstone.session import shared_root
+
+    none = SimpleNamespace(get=lambda key, default=None: default)
+    for master in ("yarn", "spark://x:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_root(SimpleNamespace(conf=none, sparkContext=SimpleNamespace(master=master)))
+
+
 # concurrency -----------------------------------------------------------------------------------------------------------
 
 
