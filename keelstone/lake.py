@@ -23,7 +23,7 @@ from keelstone.operators import merge as merging
 from keelstone.operators.merge import MergeOperator
 from keelstone.session import qualified, remove_path
 from keelstone.sources import schema as schemas
-from keelstone.sources.files import bucket_of, expired_on_disk, prune_ranges, range_key, scan, scan_kind, write_files
+from keelstone.sources.files import BUCKET_SCAN_BYTES, bucket_of, expired_on_disk, prune_ranges, range_key, scan, scan_kind, write_files
 from keelstone.sources.log import (
     COMPACTION,
     DELTA,
@@ -47,6 +47,7 @@ SETTINGS = {
     "spark.keelstone.part.merge.file.minimum.num": "5",
     "spark.keelstone.allow.stale.materialView": "false",
     "spark.keelstone.material.query.rewrite.enable": "true",
+    "spark.keelstone.bucket.scan.max.bytes": str(BUCKET_SCAN_BYTES),
 }
 #: Table properties that the engine knows.
 PROPERTIES = {"keelstone.appendOnly"}
@@ -223,15 +224,25 @@ class Table:
         state = self.snapshot()
         return scan_kind(state.meta, self._files(state, condition))
 
-    def as_bucketed(self, name: str, path: str | None = None) -> DataFrame:
-        """A catalog table, bucketed and sorted by key, for joins on the key without a shuffle."""
-        meta = self.meta
-        if not meta.keyed:
-            raise UnsupportedError("only keyed tables have buckets")
-        rows = self.toDF().repartition(meta.bucket_num, *meta.hash_columns)
-        writer = rows.write.bucketBy(meta.bucket_num, *meta.hash_columns).sortBy(*meta.hash_columns).mode("overwrite")
-        (writer.option("path", path) if path else writer).saveAsTable(name)
-        return self.spark.table(name)
+    def intersectKeys(self, other: Table) -> DataFrame:
+        """The keys (hash columns) that both tables have, each once; see :meth:`_key_operation`."""
+        return self._key_operation(other, "left_semi")
+
+    def exceptKeys(self, other: Table) -> DataFrame:
+        """The keys (hash columns) that the other table has not, each once; see :meth:`_key_operation`."""
+        return self._key_operation(other, "left_anti")
+
+    def _key_operation(self, other: Table, how: str) -> DataFrame:
+        """A set operation on the keys as a join: keys are never null and, without range columns, unique, so neither
+        null-safe comparison nor a distinct is needed, and tables with as many buckets are not shuffled."""
+        mine, theirs = self.meta, other.meta
+        if not mine.keyed or len(mine.hash_columns) != len(theirs.hash_columns):
+            raise UnsupportedError("set operations on keys need tables with as many hash columns")
+        left = self.toDF().select(*[F.col(f"`{c}`") for c in mine.hash_columns])
+        right = other.toDF().select(*[F.col(f"`{c}`").alias(f"_key_{i}") for i, c in enumerate(theirs.hash_columns)])
+        same = [F.col(f"`{c}`") == F.col(f"_key_{i}") for i, c in enumerate(mine.hash_columns)]
+        joined = left.join(right, same, how)
+        return joined.distinct() if mine.range_columns else joined
 
     def _operators(self, meta: Meta, merge: dict | None) -> dict[str, MergeOperator]:
         if not merge:

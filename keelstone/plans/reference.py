@@ -377,13 +377,13 @@ def alter_add_column(spark, sf_dir):
 # joins and set operations ----------------------------------------------------------------------------------------------
 
 
-def _bucketed_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def bucketed_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables with as many buckets of the same key: a join on the key finds its rows side by side."""
     orders = keyed_orders(spark, sf_dir)
     lines = source(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
     table = Table(spark, scratch_path(spark, "lines"))
     table.write(lines.where("l_orderkey % 4 <> 0"), hash_partitions="l_orderkey", bucket_num=8)
-    left = orders.as_bucketed(fresh_name(spark), scratch_path(spark, "bucketed"))
-    return left, table.as_bucketed(fresh_name(spark), scratch_path(spark, "bucketed"))
+    return orders.toDF(), table.toDF()
 
 
 _LINES = "(select l_orderkey, count(*) as lines, round(sum(l_quantity), 2) as quantity from lineitem where l_orderkey % 4 <> 0 group by 1)"
@@ -392,7 +392,7 @@ _LINES = "(select l_orderkey, count(*) as lines, round(sum(l_quantity), 2) as qu
 def _bucket_join(how: str, sql_how: str):
     @query(f"select o_orderkey, l_orderkey, o_totalprice, lines, quantity from orders {sql_how} join {_LINES} on o_orderkey = l_orderkey")
     def join(spark, sf_dir):
-        left, right = _bucketed_pair(spark, sf_dir)
+        left, right = bucketed_pair(spark, sf_dir)
         return left.join(right, left.o_orderkey == right.l_orderkey, how).select("o_orderkey", "l_orderkey", "o_totalprice", "lines", "quantity")
 
     QUERIES[f"bucket_join_{how}"] = QUERIES.pop("join")
@@ -439,11 +439,11 @@ def broadcast_join(spark, sf_dir):
     return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-def _key_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def key_sets(spark: SparkSession, sf_dir: str) -> tuple[Table, Table]:
     left = keyed_orders(spark, sf_dir)
     right = Table(spark, scratch_path(spark, "keys"))
     right.write(source(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").unionByName(added(spark, sf_dir)), hash_partitions="o_orderkey", bucket_num=8)
-    return left.toDF().select("o_orderkey"), right.toDF().select("o_orderkey")
+    return left, right
 
 
 _LEFT, _RIGHT = "select o_orderkey from orders", f"(select o_orderkey from orders where o_orderkey % 3 = 0 union all select o_orderkey from ({ADDED}))"
@@ -451,14 +451,14 @@ _LEFT, _RIGHT = "select o_orderkey from orders", f"(select o_orderkey from order
 
 @query(f"{_LEFT} intersect select * from {_RIGHT}")
 def intersect_keys(spark, sf_dir):
-    left, right = _key_sets(spark, sf_dir)
-    return left.intersect(right)
+    left, right = key_sets(spark, sf_dir)
+    return left.intersectKeys(right)
 
 
 @query(f"{_LEFT} except select * from {_RIGHT}")
 def except_keys(spark, sf_dir):
-    left, right = _key_sets(spark, sf_dir)
-    return left.subtract(right)
+    left, right = key_sets(spark, sf_dir)
+    return left.exceptKeys(right)
 
 
 @query("select o_custkey from orders intersect all select c_custkey from customer")
@@ -469,8 +469,8 @@ def intersect_all(spark, sf_dir):
 
 @query(f"{_LEFT} union all select * from {_RIGHT}")
 def union_all(spark, sf_dir):
-    left, right = _key_sets(spark, sf_dir)
-    return left.unionByName(right)
+    left, right = key_sets(spark, sf_dir)
+    return left.toDF().select("o_orderkey").unionByName(right.toDF().select("o_orderkey"))
 
 
 # aggregation, windows, sorting -----------------------------------------------------------------------------------------

@@ -15,10 +15,15 @@ from pyspark.sql import types as T
 
 from keelstone.operators.merge import Layer, MergeOperator, merge_layers, newest_rows
 from keelstone.session import _filesystem, local_path
+from keelstone.sources.bucketed import bucket_in_name, buckets_kept, is_placed, read_bucketed, write_bucketed
 from keelstone.sources.log import UNPARTITIONED, DataFile, Meta, Snapshot
 from keelstone.sources.schema import align, check_rows, file_schema
 
 _NULL_DIRECTORY = "__HIVE_DEFAULT_PARTITION__"
+#: A bucket is read by one task only while its files hold at most so many bytes (``spark.keelstone.bucket.scan.max.bytes``).
+BUCKET_SCAN_BYTES = 4 << 30
+#: Spark's own limit on buckets.
+MOST_BUCKETS = 100_000
 
 
 def range_key(values: dict) -> str:
@@ -66,8 +71,8 @@ def write_files(
     """Write rows as files of the table; they count only once a commit names them.
 
     Keyed tables: one shuffle by (range, bucket) serves three ends: the last row of a key wins, each (range, bucket)
-    becomes one file, and files are sorted by key.  Other tables are rebalanced by range, so that neither tiny nor huge
-    files come out.
+    becomes one file, and files are sorted by key.  Rows that already lie one partition per bucket are not shuffled.
+    Other tables are rebalanced by range, so that neither tiny nor huge files come out.
     """
     spark, schema = df.sparkSession, meta.struct
     rows = align(df, schema)
@@ -78,29 +83,29 @@ def write_files(
     if meta.keyed and not unique:
         rows = rows.withColumn("__at", F.monotonically_increasing_id())
     rows = rows.withColumns({d: F.col(f"`{c}`").cast("string") for d, c in zip(directories, meta.range_columns)} or {})
+    folder = f"{table_path}/data/{uuid.uuid4().hex}"
+    compression = spark.conf.get("spark.keelstone.compression", "snappy")
     if meta.keyed:
-        rows = rows.withColumn("__bucket", bucket_of(meta.hash_columns, meta.bucket_num).cast("int"))
-        layout = [*directories, "__bucket"]
-        rows = rows.repartition(*layout)
-        if not unique:
-            last = Window.partitionBy(*layout, *[f"`{k}`" for k in meta.hash_columns]).orderBy(F.desc("__at"))
-            rows = rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__at")
-        rows = rows.sortWithinPartitions(*layout, *[f"`{k}`" for k in meta.hash_columns])
+        with buckets_kept(spark):
+            if not (unique and is_placed(rows, meta.bucket_num)):
+                rows = rows.repartition(*directories, bucket_of(meta.hash_columns, meta.bucket_num))
+            if not unique:
+                last = Window.partitionBy(*directories, *[f"`{k}`" for k in meta.hash_columns]).orderBy(F.desc("__at"))
+                rows = rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__at")
+            write_bucketed(rows, folder, directories, meta.hash_columns, meta.bucket_num, compression)
     else:
-        layout = directories
         if directories:
             rows = rows.hint("rebalance", *[F.col(d) for d in directories])
-    token = uuid.uuid4().hex
-    writer = rows.write.option("compression", spark.conf.get("spark.keelstone.compression", "snappy"))
-    (writer.partitionBy(*layout) if layout else writer).parquet(f"{table_path}/data/{token}")
+        writer = rows.write.option("compression", compression)
+        (writer.partitionBy(*directories) if directories else writer).parquet(folder)
     files = []
-    for path, size, _ in list_files(spark, f"{table_path}/data/{token}"):
+    for path, size, _ in list_files(spark, folder):
         values = dict(part.split("=", 1) for part in path.split("/")[:-1])
         own = {
             c: None if values[d] == _NULL_DIRECTORY else unquote(values[d]) for d, c in zip(directories, meta.range_columns)
         }
-        bucket = int(values.get("__bucket", -1))
-        files.append(DataFile(f"data/{token}/{path}", range_key(own), own, bucket, size, tuple(columns), 0, base))
+        bucket = bucket_in_name(path) if meta.keyed else -1
+        files.append(DataFile(f"{folder[len(table_path) + 1:]}/{path}", range_key(own), own, bucket, size, tuple(columns), 0, base))
     return files
 
 
@@ -111,14 +116,29 @@ def _token(path: str) -> str:
     return path.split("/")[1]
 
 
-def read_group(spark: SparkSession, meta: Meta, table_path: str, files: Sequence[DataFile], ordered: bool) -> DataFrame:
+def in_buckets(spark: SparkSession, meta: Meta, files: Sequence[DataFile]) -> bool:
+    """Whether a scan of these files may take one task per bucket: all files lie in buckets, and none holds too much."""
+    if not meta.keyed or not meta.bucket_num <= MOST_BUCKETS or any(f.bucket < 0 for f in files):
+        return False
+    sizes: dict[int, int] = {}
+    for f in files:
+        sizes[f.bucket] = sizes.get(f.bucket, 0) + f.size
+    return max(sizes.values(), default=0) <= int(spark.conf.get("spark.keelstone.bucket.scan.max.bytes", str(BUCKET_SCAN_BYTES)))
+
+
+def read_group(
+    spark: SparkSession, meta: Meta, table_path: str, files: Sequence[DataFile], ordered: bool, bucketed: bool = False
+) -> DataFrame:
     """Files of one set of columns in one scan; missing columns are null, ``_order`` is added on request.
 
     The version of a row is told by the folder of its file, which a commit's files share.
     """
     schema = meta.struct
     stored = file_schema(schema, files[0].columns)
-    rows = spark.read.schema(stored).parquet(*[f"{table_path}/{_escaped(f.path)}" for f in files])
+    paths = [f"{table_path}/{_escaped(f.path)}" for f in files]
+    rows = read_bucketed(spark, paths, stored, meta.hash_columns, meta.bucket_num) if bucketed else None
+    if rows is None:
+        rows = spark.read.schema(stored).parquet(*paths)
     picked = []
     for name in output_columns(meta):
         kind = next(f.dataType for f in schema.fields if f.name == name)
@@ -171,7 +191,12 @@ def scan(
     """The rows of ``files``, versions of a key merged.
 
     Buckets with a single version are read as they are, however many others have deltas; only buckets with several
-    versions are merged, and of those the oldest version is joined against, not aggregated, where the default holds.
+    versions are merged.  All versions of a key lie in the same bucket, so the merge works inside buckets, without a
+    shuffle, and its rows are still partitioned by the hash of the keys.
+
+    Of tables without range columns, and wherever the deltas are small enough to be broadcast, the oldest version is
+    joined against and not aggregated.  Buckets too large for a task (see :func:`in_buckets`) are read in splits and
+    merged by a shuffle.
     """
     columns = output_columns(meta)
     if not files:
@@ -183,20 +208,30 @@ def scan(
         orders.setdefault((f.range_key, f.bucket), set()).add(f.order)
     alone = [f for f in files if not meta.keyed or (len(orders[f.range_key, f.bucket]) == 1 and not operators)]
     mixed = [f for f in files if meta.keyed and not (len(orders[f.range_key, f.bucket]) == 1 and not operators)]
-    parts = [read_group(spark, meta, table_path, g, False) for g in _by_columns(alone)]
+    bucketed = in_buckets(spark, meta, files)
+    parts = [read_group(spark, meta, table_path, g, False, bucketed) for g in _by_columns(alone)]
     if mixed:
         keys = [*meta.range_columns, *meta.hash_columns]
-        if not operators and scan_kind(meta, mixed) == "newest" and set(mixed[0].columns) >= set(columns):
-            oldest = [f for f in mixed if f.order == min(orders[f.range_key, f.bucket])]
-            newer = [f for f in mixed if f.order != min(orders[f.range_key, f.bucket])]
-            base = read_group(spark, meta, table_path, oldest, False)
-            parts.append(newest_rows(base, read_group(spark, meta, table_path, newer, True), keys, columns))
+        oldest = [f for f in mixed if f.order == min(orders[f.range_key, f.bucket])]
+        newer = [f for f in mixed if f.order != min(orders[f.range_key, f.bucket])]
+        whole_rows = not operators and scan_kind(meta, mixed) == "newest" and set(mixed[0].columns) >= set(columns)
+        # a join on range and hash columns would be shuffled by both; an aggregate is content with the buckets
+        joins = not meta.range_columns or not bucketed or sum(f.size for f in newer) <= _broadcast_limit(spark)
+        if whole_rows and joins:
+            base = read_group(spark, meta, table_path, oldest, False, bucketed)
+            parts.append(newest_rows(base, read_group(spark, meta, table_path, newer, True, bucketed), keys, columns))
         else:
-            layers = [Layer(read_group(spark, meta, table_path, g, True), frozenset(g[0].columns)) for g in _by_columns(mixed)]
+            layers = [Layer(read_group(spark, meta, table_path, g, True, bucketed), frozenset(g[0].columns)) for g in _by_columns(mixed)]
             parts.append(merge_layers(layers, keys, columns, operators))
     return _union(parts)
 
 
+def _broadcast_limit(spark: SparkSession) -> int:
+    """Bytes up to which Spark broadcasts a side of a join by itself; 0 if it never does."""
+    text = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return max(0, int(text))
+
+
 
 def prune_ranges(spark: SparkSession, snapshot: Snapshot, condition: str) -> set[str] | None:
     """The range keys whose values can satisfy ``condition``; None if it is not about range columns alone.

@@ -326,16 +326,66 @@ def test_pruning(spark, tmp_path):
     assert rows(t.toDF("k = 5"), "v") == [(5,)] and t.toDF("p = 9").count() == 0
 
 
-def test_join_on_key_has_no_shuffle(spark, tmp_path, settings):
+def exchanges(df):
+    """Shuffles in the plan that ran."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def layered(spark, path, ranges, delta_columns=("k", "p", "v", "w")):
+    """A table of 4 buckets with two deltas, and what it holds."""
+    base = spark.range(400).selectExpr("cast(id as int) as k", "cast(id % 3 as string) as p", "cast(id as int) as v", "'base' as w")
+    t = Table(spark, str(path))
+    t.write(base, range_partitions="p" if ranges else None, hash_partitions="k", bucket_num=4)
+    t.upsert(base.where("k % 2 = 0").withColumn("v", F.col("v") + 1000).select(*delta_columns))
+    t.upsert(base.where("k % 5 = 0").withColumn("k", F.col("k") + 1000).unionByName(base.where("k % 4 = 0")).withColumn("v", F.lit(-1)))
+    model = {k: [str(k % 3), k, "base"] for k in range(400)}
+    model |= {k: [str(k % 3), k + 1000, "base"] for k in range(0, 400, 2)}
+    model |= {k + 1000: [str(k % 3), -1, "base"] for k in range(0, 400, 5)} | {k: [str(k % 3), -1, "base"] for k in range(0, 400, 4)}
+    return t, sorted(((k, *x) for k, x in model.items()), key=repr)
+
+
+@pytest.mark.parametrize("ranges", [False, True], ids=["plain", "ranges"])
+@pytest.mark.parametrize("columns", [("k", "p", "v", "w"), ("k", "p", "v")], ids=["rows", "columns"])
+def test_merge_on_read_works_inside_buckets(spark, tmp_path, settings, ranges, columns):
+    settings("spark.sql.autoBroadcastJoinThreshold", "-1")
+    t, wanted = layered(spark, tmp_path / "t", ranges, columns)
+    assert exchanges(t.toDF()) == 0 and rows(t.toDF(), "k", "p", "v", "w") == wanted
+    assert exchanges(t.toDF().groupBy("k").count()) == 0
+    settings("spark.keelstone.bucket.scan.max.bytes", "1")  # buckets too large for a task: by a shuffle
+    assert exchanges(t.toDF()) > 0 and rows(t.toDF(), "k", "p", "v", "w") == wanted
+
+
+@pytest.mark.parametrize("ranges", [False, True], ids=["plain", "ranges"])
+def test_compaction_keeps_buckets_in_place(spark, tmp_path, settings, ranges, monkeypatch):
     settings("spark.sql.autoBroadcastJoinThreshold", "-1")
-    pair = []
-    for n in ("left", "right"):
-        t = keyed(spark, f"{tmp_path}/{n}", [(i, f"{n}{i}") for i in range(50)], f"k int, {n} string", "k", 4)
-        pair.append(t.as_bucketed(f"bucketed_{n}_{tmp_path.name.replace('-', '_')}", f"{tmp_path}/{n}_b"))
-    joined = pair[0].join(pair[1], "k")
-    assert joined.count() == 50
-    assert "Exchange" not in joined._jdf.queryExecution().sparkPlan().toString()
-    assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    t, wanted = layered(spark, tmp_path / "t", ranges)
+    shuffled = []
+    from keelstone.sources import files
+
+    plain = files.is_placed
+    monkeypatch.setattr(files, "is_placed", lambda *a: shuffled.append(not plain(*a)) or not shuffled[-1])
+    t.compaction()
+    assert shuffled == [False] and rows(t.toDF(), "k", "p", "v", "w") == wanted
+    held = list(t.snapshot().files.values())
+    assert len({(f.range_key, f.bucket) for f in held}) == len(held) and all(f.is_base for f in held)
+
+
+def test_joins_and_set_operations_on_keys_have_no_shuffle(spark, tmp_path, settings):
+    settings("spark.sql.autoBroadcastJoinThreshold", "-1")
+    left, wanted = layered(spark, tmp_path / "left", True)
+    right = keyed(spark, f"{tmp_path}/right", [(i, f"r{i}") for i in range(100, 1100)], "key int, name string", "key", 4)
+    right.upsert(spark.createDataFrame([(i, "late") for i in range(90, 120)], "key int, name string"))
+    keys = {r[0] for r in wanted}
+    theirs = set(range(90, 1100))
+    joined = left.toDF().join(right.toDF(), F.col("k") == F.col("key"))
+    assert exchanges(joined) == 0 and {r["k"] for r in joined.collect()} == keys & theirs
+    for found, expected in ((left.intersectKeys(right), keys & theirs), (left.exceptKeys(right), keys - theirs), (right.exceptKeys(left), theirs - keys)):
+        assert exchanges(found) == 0
+        assert sorted(r[0] for r in found.collect()) == sorted(expected)
+    with pytest.raises(UnsupportedError):
+        left.intersectKeys(keyed(spark, f"{tmp_path}/two", [(1, 2)], "a int, b int", "a,b", 2))
 
 
 def test_merge_of_small_deltas_does_not_shuffle_the_base(spark, tmp_path):
