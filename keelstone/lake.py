@@ -20,10 +20,11 @@ from pyspark.sql import types as T
 
 from keelstone.errors import ConflictError, EngineError, NotFoundError, SchemaError, UnsupportedError
 from keelstone.operators import merge as merging
+from keelstone.operators import sorted_runs
 from keelstone.operators.merge import MergeOperator
 from keelstone.session import qualified, remove_path
 from keelstone.sources import schema as schemas
-from keelstone.sources.files import BUCKET_SCAN_BYTES, bucket_of, expired_on_disk, prune_ranges, range_key, scan, scan_kind, write_files
+from keelstone.sources.files import BUCKET_SCAN_BYTES, bucket_of, expired_on_disk, list_files, prune_ranges, range_key, scan, scan_kind, write_files
 from keelstone.sources.log import (
     COMPACTION,
     DELTA,
@@ -50,7 +51,7 @@ SETTINGS = {
     "spark.keelstone.bucket.scan.max.bytes": str(BUCKET_SCAN_BYTES),
 }
 #: Table properties that the engine knows.
-PROPERTIES = {"keelstone.appendOnly"}
+PROPERTIES = {"keelstone.appendOnly", "keelstone.sortBy"}
 # --- end of fixed values ---
 HOUR_MS = 3_600_000
 _LOGS: dict[str, CommitLog] = {}
@@ -369,7 +370,12 @@ class Table:
         if len(ranges) == len(data.schema.names):
             raise SchemaError("a table needs a column besides its range columns")
         check_properties(properties or {})
-        keys = {*ranges, *hashes}
+        properties, sort_by = dict(properties or {}), (properties or {}).get("keelstone.sortBy")
+        if sort_by is not None:
+            if hashes or sort_by.lower() not in by_lower or by_lower[sort_by.lower()] in ranges:
+                raise SchemaError(f"files cannot be sorted by {sort_by}: it takes a plain column of a table without hash columns")
+            properties["keelstone.sortBy"] = by_lower[sort_by.lower()]
+        keys = {*ranges, *hashes, *([properties["keelstone.sortBy"]] if sort_by is not None else [])}
         fields = [T.StructField(f.name, f.dataType, f.name not in keys and (f.nullable or not _declared(f)), f.metadata) for f in data.schema.fields]
         return Meta(f"table_{uuid.uuid4()}", T.StructType(fields).json(), ranges, hashes, int(buckets or -1) if hashes else -1,
                     dict(properties or {}), short_name, view)
@@ -553,6 +559,45 @@ class Table:
                 oldest += [f for f in own if f.order <= orders[len(orders) - least]]
         return self._fold(state, oldest, PART_COMPACTION, merge)
 
+    def consolidate(
+        self, small_bytes: int = sorted_runs.SMALL_BYTES, min_files: int = sorted_runs.MIN_FILES, target_bytes: int = sorted_runs.TARGET_BYTES,
+        fan_in: int = sorted_runs.FAN_IN,
+    ) -> Snapshot:
+        """Merge the small files of a table whose files are sorted (property ``keelstone.sortBy``) into few sorted ones.
+
+        Files below ``small_bytes`` of partitions that have at least ``min_files`` of them are runs of the external merge;
+        no row is shuffled, lost or doubled.  One commit takes the runs out and puts the new files in, so readers see one
+        or the other; if a run is gone by then, the commit is refused and the new files are left to :meth:`cleanup`.
+        Files with other columns (before a change of the schema) are merged among themselves.
+        """
+        state = self.snapshot()
+        sort_by = state.meta.properties.get("keelstone.sortBy")
+        if sort_by is None:
+            raise UnsupportedError("only tables with the property keelstone.sortBy have sorted files")
+        groups: dict[tuple, list[DataFile]] = {}
+        for f in state.files.values():
+            if 0 < f.size < small_bytes:
+                groups.setdefault((tuple(f.columns), f.range_key), []).append(f)
+        by_columns: dict[tuple, list[DataFile]] = {}
+        for (columns, _), own in groups.items():
+            if len(own) >= min_files:
+                by_columns.setdefault(columns, []).extend(own)
+        add, gone = [], []
+        for columns, own in by_columns.items():
+            folder = lambda f: "/".join(f.path.split("/")[2:-1])  # noqa: E731  the directories of its partition
+            token = f"data/{uuid.uuid4().hex}"
+            listed = self.spark.createDataFrame([(folder(f), f.order, f"{self.path}/{f.path}") for f in own], "grp string, at int, path string")
+            merged = sorted_runs.merge_sorted_files(
+                self.spark, listed, sort_by, f"{self.path}/{token}", target_bytes, fan_in=fan_in, group="grp", order_by=["at"]
+            )
+            kept = {r["path"][len(self.path) + 1 :] for r in merged.select("path").collect()}  # one per target_bytes
+            like, newest = {folder(f): f for f in own}, max(f.order for f in own)
+            for path, size, _ in list_files(self.spark, f"{self.path}/{token}"):
+                if f"{token}/{path}" in kept:
+                    add.append(replace(like[path.rpartition("/")[0]], path=f"{token}/{path}", size=size, order=newest, is_base=True))
+            gone += own
+        return self._commit(state, COMPACTION, add, gone) if gone else state
+
     def _fold(self, state: Snapshot, files: list[DataFile], kind: str, merge: dict | None) -> Snapshot:
         """Merge files into one version per bucket: one job and one commit for all partitions.
 

@@ -7,12 +7,13 @@ import itertools
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -26,6 +27,9 @@ MIN_FILES = 8
 FAN_IN = 32
 #: Keys sampled per ``target_bytes`` to find the cuts.
 SAMPLES = 64
+#: Bytes (in memory) of a row group of an output.
+GROUP_BYTES = 8_388_608
+CODEC = "zstd"
 
 
 def plan_merges(
@@ -61,24 +65,47 @@ def plan_merges(
 # the merge -------------------------------------------------------------------------------------------------------------
 
 
-def _boundaries(spans: DataFrame, target_bytes: int) -> dict[int, list]:
+@dataclass(frozen=True)
+class Ranges:
+    """The key ranges of a batch: range ``i`` goes from cut ``i - 1`` (included) to cut ``i`` and is task ``first + i``."""
+
+    first: int
+    cuts: tuple
+
+    def of(self, key) -> int:
+        return bisect.bisect_right(self.cuts, _place(key), key=_place)
+
+    def edges(self, task: int) -> tuple:
+        i = task - self.first
+        return (self.cuts[i - 1] if i else None, self.cuts[i] if i < len(self.cuts) else None)
+
+
+def _boundaries(spans: DataFrame, target_bytes: int) -> dict[tuple, list]:
     """Cut points of each batch's key space, so that a range has about ``target_bytes``, by the sampled keys.
 
-    A key that fills more than a range is cut off on both sides, so its range holds little else.  The ordered pass sees
-    about ``SAMPLES`` short rows per range, not the data.
+    The samples (about ``SAMPLES`` short rows per range, not the data) are numbered by exact offsets over many tasks; a
+    sample's tile is its number in units of a range.  A key is a cut where a tile ends first, so ``last``, the last tile
+    of a key, is larger than that of the key before.  A key that fills more than a range is cut off on both sides, so its
+    range holds little else.  The driver receives the cuts, one key per ``target_bytes``.
     """
-    ranges = spans.groupBy("batch").agg(F.greatest(F.lit(1), F.round(F.sum("bytes") / target_bytes).cast("long")).alias("ranges"))
-    keys = spans.select("batch", F.explode("keys").alias("k"))
+    batch = ["grp", "batch"]
+    ranges = spans.groupBy(*batch).agg(F.greatest(F.lit(1), F.round(F.sum("bytes") / target_bytes).cast("long")).alias("ranges"))
+    ranges = ranges.where("ranges > 1")
+    keys = spans.join(ranges, batch, "left_semi").select(*batch, "path", "group", F.posexplode("keys").alias("at", "k"))
     if dict(keys.dtypes)["k"] in ("float", "double"):
         keys = keys.where(~F.isnan("k"))  # NaN sorts last and stays in the last range
-    ordered, whole = Window.partitionBy("batch").orderBy("k"), Window.partitionBy("batch")
-    numbered = keys.withColumn("no", F.row_number().over(ordered) - 1).withColumn("n", F.count(F.lit(1)).over(whole))
-    tiles = numbered.join(ranges, "batch").withColumn("tile", F.floor(F.col("no") * F.col("ranges") / F.col("n")))
-    each = tiles.groupBy("batch", "k").agg(F.min("tile").alias("first"), F.max("tile").alias("last"))
-    before = each.withColumn("was", F.lag(F.struct("first", "last")).over(ordered)).where("was is not null")
-    cuts: dict[int, list] = {}
-    for r in before.where("last > was.last or was.last - was.first >= 2").select("batch", "k").collect():
-        cuts.setdefault(r["batch"], []).append(r["k"])
+    numbered = running_total(keys, batch, ["k", "path", "group", "at"], None, "no")
+    size = numbered.groupBy(*batch).agg(F.max("no").alias("n"), F.min("k").alias("least"))
+    tiles = numbered.join(size.join(ranges, batch), batch)
+    tiles = tiles.withColumn("tile", F.floor((F.col("no") - 1) * F.col("ranges") / F.col("n")))
+    each = tiles.groupBy(*batch, "k", "least").agg(F.min("tile").alias("first"), F.max("tile").alias("last"))
+    each = materialize(each, "cuts")
+    ends = each.groupBy(*batch, "last", "least").agg(F.min("k").alias("k")).where("k > least").select(*batch, "k")
+    hot = each.where("last - first >= 2").select(*batch, F.col("last").alias("first"))
+    after = each.join(hot, [*batch, "first"], "left_semi").groupBy(*batch, "first").agg(F.min("k").alias("k")).select(*batch, "k")
+    cuts: dict[tuple, list] = {}
+    for r in ends.unionByName(after).distinct().toArrow().to_pylist():
+        cuts.setdefault((r["grp"], r["batch"]), []).append(r["k"])
     return {b: sorted(k) for b, k in cuts.items()}
 
 
@@ -90,19 +117,19 @@ def _sampled(path: str, group: int, rows: int, expected: float) -> list[int]:
 
 
 def read_spans(listed: DataFrame, key: str, key_type: str, target_bytes: int) -> DataFrame:
-    """``run, piece, path, group, lo, hi, rows, bytes, keys``: every row group with its key range and some of its keys.
+    """``grp, run, piece, path, group, lo, hi, rows, bytes, keys``: every row group with its key range and some of its keys.
 
-    ``listed`` has ``run, piece, path``.  The executors read footers, and the key column where keys are sampled.
+    ``listed`` has ``grp, run, piece, path``.  The executors read footers, and the key column where keys are sampled.
     """
     schema = (
-        f"run int, piece long, path string, `group` int, lo {key_type}, hi {key_type}, rows long, bytes long, keys array<{key_type}>"
+        f"grp string, run int, piece long, path string, `group` int, lo {key_type}, hi {key_type}, rows long, bytes long, keys array<{key_type}>"
     )
     floating = key_type in ("float", "double")
 
     def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for run, piece, path in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for grp, run, piece, path in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 with _open(path) as file:
                     meta = file.metadata
                     leaves = [meta.schema.column(i).path for i in range(meta.num_columns)]
@@ -114,19 +141,19 @@ def read_spans(listed: DataFrame, key: str, key_type: str, target_bytes: int) ->
                         stats = None if floating else group.column(column).statistics  # those of floats may leave out NaN
                         chosen = _sampled(path, g, group.num_rows, group.total_byte_size * SAMPLES / target_bytes)
                         known = stats is not None and stats.has_min_max and not stats.null_count
-                        keys = None if known and not chosen else file.read_row_group(g, columns=[key]).column(0)
+                        keys = None if known and not chosen else _zoned(file, file.read_row_group(g, columns=[key])).column(0)
                         if known:
                             lo, hi = stats.min, stats.max
                         else:
                             lo, hi = (None, None) if keys.null_count else (keys[0].as_py(), keys[-1].as_py())
                         sample = [keys[i].as_py() for i in chosen] if lo is not None else []
-                        rows.append((run, piece, path, g, lo, hi, group.num_rows, group.total_byte_size, sample))
-            columns = list(zip(*rows)) if rows else [[]] * 9
+                        rows.append((grp, run, piece, path, g, lo, hi, group.num_rows, group.total_byte_size, sample))
+            columns = list(zip(*rows)) if rows else [[]] * 10
             yield _batch(columns, arrow)
 
     spark = listed.sparkSession
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    return listed.repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(footers, schema)
+    return listed.select("grp", "run", "piece", "path").repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(footers, schema)
 
 
 def _batch(columns: Sequence[Sequence], schema: pa.Schema) -> pa.RecordBatch:
@@ -139,8 +166,22 @@ def _open(path: str) -> pq.ParquetFile:
     if "://" in path or path.startswith("file:"):
         path = "file:///" + path[5:].lstrip("/") if path.startswith("file:") else path
         filesystem, inner = fs.FileSystem.from_uri(path)
-        return pq.ParquetFile(inner, filesystem=filesystem)
-    return pq.ParquetFile(path)
+        return pq.ParquetFile(inner, filesystem=filesystem, coerce_int96_timestamp_unit="us")
+    return pq.ParquetFile(path, coerce_int96_timestamp_unit="us")
+
+
+def _zoned(file: pq.ParquetFile, block: pa.Table) -> pa.Table:
+    """Spark's old timestamps (INT96) are points in time; Arrow reads them without a zone, and Spark would so read them back."""
+    old = [c for c in map(file.metadata.schema.column, range(file.metadata.num_columns)) if c.physical_type == "INT96"]
+    for column in old:
+        if "." in column.path:
+            raise ValueError(f"{column.path}: an INT96 timestamp inside a nested column cannot be merged")
+        at = block.schema.get_field_index(column.path)
+        if at >= 0:
+            kind = pa.timestamp("us", "UTC")
+            field = block.schema.field(at).with_type(kind)
+            block = block.set_column(at, field, pc.assume_timezone(block.column(at), "UTC").cast(kind))
+    return block
 
 
 def _place(value) -> tuple:
@@ -155,25 +196,30 @@ def _rows_up_to(keys: pa.ChunkedArray, safe: tuple, included: bool) -> int:
 
 
 def merge_blocks(runs: Sequence[Iterator[pa.Table]], key: str) -> Iterator[pa.Table]:
-    """Stable k-way merge of sorted block streams: one block per run in memory, equal keys in run order.
+    """Stable k-way merge of sorted block streams: two blocks per run in memory, equal keys in run order.
 
-    In each step the smallest of the runs' last loaded keys is safe: every row before it is loaded.  The first run that
-    ends with it may go on with it in its next block, so the rows equal to it are taken up to that run only.  Those rows
-    are cut off by binary search, joined and sorted as one block; the runs that are used up load their next block.
+    A run whose next block is known to be missing is loaded whole.  Of the other runs the smallest last loaded key is
+    safe: every row before it is loaded.  The first run that ends with it may go on with it in its next block, so the rows
+    equal to it are taken up to that run only.  Those rows are cut off by binary search, joined and sorted as one block;
+    the runs that are used up load their next block.  When all runs are loaded whole, the rest is one block.
     """
     heads: list[pa.Table | None] = [next(r, None) for r in runs]
-    while True:
-        live = [i for i, h in enumerate(heads) if h is not None]
-        if not live:
-            return
-        safe, first = min((_place(heads[i].column(key)[-1].as_py()), i) for i in live)
+    ahead = [None if h is None else next(r, None) for h, r in zip(heads, runs)]
+    while live := [i for i, h in enumerate(heads) if h is not None]:
+        waiting = [(_place(heads[i].column(key)[-1].as_py()), i) for i in live if ahead[i] is not None]
         parts = []
         for i in live:
             head = heads[i]
-            n = _rows_up_to(head.column(key), safe, i <= first)
+            n = head.num_rows
+            if waiting:
+                safe, first = min(waiting)
+                n = _rows_up_to(head.column(key), safe, i <= first)
             if n:
                 parts.append(head.slice(0, n))
-            heads[i] = head.slice(n) if n < head.num_rows else next(runs[i], None)
+            if n < head.num_rows:
+                heads[i] = head.slice(n)
+            else:
+                heads[i], ahead[i] = ahead[i], None if ahead[i] is None else next(runs[i], None)
         if len(parts) == 1:
             yield parts[0]
         else:
@@ -183,85 +229,123 @@ def merge_blocks(runs: Sequence[Iterator[pa.Table]], key: str) -> Iterator[pa.Ta
             yield block.take(order)
 
 
+def _listed(spark: SparkSession, files: Sequence[str] | DataFrame, group: str | None, order_by: Sequence[str]) -> DataFrame:
+    """``grp, run, piece, path``: the runs of each group, numbered in order."""
+    if not isinstance(files, DataFrame):
+        return spark.createDataFrame([("", i, 0, p) for i, p in enumerate(files)], "grp string, run int, piece long, path string")
+    named = files.select((F.col(group) if group else F.lit("")).alias("grp"), F.struct(*order_by, "path").alias("o"), F.col("path").alias("path"))
+    numbered = running_total(named, ["grp"], ["o"], None, "no")
+    return materialize(numbered.select("grp", (F.col("no") - 1).cast("int").alias("run"), F.lit(0).cast("long").alias("piece"), "path"), "runs")
+
+
 def merge_sorted_files(
     spark: SparkSession,
-    paths: Sequence[str],
+    files: Sequence[str] | DataFrame,
     key: str,
     out: str,
     target_bytes: int = TARGET_BYTES,
     block_rows: int = 262_144,
     fan_in: int = FAN_IN,
+    group: str | None = None,
+    order_by: Sequence[str] = (),
 ) -> DataFrame:
     """Merge Parquet files, each sorted by ``key``, into few files of about ``target_bytes`` below ``out``.
 
-    At most ``fan_in`` runs are merged at once.  If there are more, a pass merges each batch of ``fan_in`` neighbours into
-    one longer run in the scratch folder, until one batch is left; every pass reads and writes each row once.
+    ``files`` is a list of paths or, for very many, a table with ``path``; with ``group`` (a column of folder names) the
+    files of each group are merged among themselves, into ``out/<group>``, all groups in the same jobs.  Runs stand in the
+    order of the list, or of ``order_by`` and path.
+
+    At most ``fan_in`` runs are merged at once.  If a group has more, a pass merges each batch of ``fan_in`` neighbours
+    into one longer run in the scratch folder, until one batch is left; every pass reads and writes each row once.
 
     In a pass the key space of a batch is cut into ranges of about ``target_bytes`` by sampled keys.  A task owns a key
     range: it reads from every run only the row groups that overlap its range, merges them block by block (the blocks of
     all runs together hold about ``block_rows`` rows), and starts a new output when the current one is full.  Every row,
     repeated rows included, is taken exactly once, and in each pass the rows written are compared with those in the
-    footers; equal keys keep the order of ``paths``; NaN sorts last.  A key that fills more than a range is held by one
-    task but never in memory at once; a run with null keys is refused, since nulls have no place in a key range.
+    footers; equal keys keep the order of the runs; NaN sorts last.  A key that fills more than a range is held by one
+    task but never in memory at once.  A run with null keys is refused, since nulls have no place in a key range, and so
+    is one that is not sorted.  An empty list is refused; an empty table of files gives no rows.
 
-    Returns the range metadata: ``path, lo, hi, rows``, one row per written file.  Output names carry the attempt, and
-    only the returned files count: those of a failed or repeated attempt are leftovers to be cleaned up.
+    Returns the range metadata: ``grp, path, lo, hi, rows``, one row per written file.  Output names carry the attempt,
+    and only the returned files count: those of a failed or repeated attempt are leftovers to be cleaned up.
     """
-    paths = list(paths)
-    if not paths:
-        raise ValueError("no files to merge")
+    if not isinstance(files, DataFrame):
+        files = list(files)
+        if not files:
+            raise ValueError("no files to merge")
     if fan_in < 2:
         raise ValueError("a merge takes at least two runs")
-    key_type = spark.read.parquet(paths[0]).schema[key].dataType.simpleString()
-    runs, used = len(paths), None
-    listed = spark.createDataFrame([(i, 0, p) for i, p in enumerate(paths)], "run int, piece long, path string")
+    listed = _listed(spark, files, group, order_by)
+    runs = {r["grp"]: r["n"] for r in listed.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per group
+    if not runs:
+        return spark.createDataFrame([], "grp string, path string, lo string, hi string, rows long")
+    key_type = spark.read.parquet(listed.first()["path"]).schema[key].dataType.simpleString()
+    done = spark.createDataFrame([], f"grp string, path string, lo {key_type}, hi {key_type}, rows long")
+    used = None
     while True:
         spans = materialize(read_spans(listed, key, key_type, target_bytes), "spans")
-        total = spans.agg(
-            F.sum("bytes").alias("b"), F.sum("rows").alias("rows"), F.sum(F.col("lo").isNull().cast("long")).alias("nulls")
-        ).first()
+        total = spans.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sum(F.col("lo").isNull().cast("long")).alias("nulls")).first()
         if total["nulls"]:
             raise ValueError(f"column {key} holds nulls; sorted runs need a key in every row")
-        if not total["b"]:
-            return spark.createDataFrame([], f"path string, lo {key_type}, hi {key_type}, rows long")
-        folder = out if runs <= fan_in else scratch_path(spark, "merge-pass")
-        merged = _merge_pass(spans, runs, key, key_type, folder, target_bytes, block_rows, fan_in)
+        folder = scratch_path(spark, "merge-pass")
+        merged = _merge_pass(spans, runs, key, key_type, out, folder, target_bytes, block_rows, fan_in)
         written = merged.agg(F.sum("rows")).first()[0] or 0
         if written != total["rows"]:
-            raise RuntimeError(f"merge wrote {written} of {total['rows']} rows to {folder}")
+            raise RuntimeError(f"merge wrote {written} of {total['rows']} rows")
         if used:
             remove_path(spark, used)
-        if runs <= fan_in:
-            return merged.select("path", "lo", "hi", "rows")
-        listed, runs, used = merged.select("run", "piece", "path"), -(-runs // fan_in), folder
+        done = done.unionByName(merged.where("final").select(*done.columns))
+        runs = {g: -(-n // fan_in) for g, n in runs.items() if n > fan_in}
+        if not runs:
+            return done
+        listed, used = merged.where("not final").select("grp", "run", "piece", "path"), folder
 
 
-def _merge_pass(spans, runs, key, key_type, folder, target_bytes, block_rows, fan_in) -> DataFrame:
-    """``run, piece, path, lo, hi, rows`` of the files to which each batch of ``fan_in`` neighbouring runs is merged."""
+def _merge_pass(spans, runs, key, key_type, out, folder, target_bytes, block_rows, fan_in) -> DataFrame:
+    """``grp, run, piece, path, lo, hi, rows, final``: the files to which each batch of ``fan_in`` neighbouring runs is merged.
+
+    Batches of groups that are done after this pass go to ``out``, the others to ``folder``.  The ranges of all batches are
+    broadcast: a few values per ``target_bytes`` of data.
+    """
     spark = spans.sparkSession
     spans = spans.withColumn("batch", F.floor(F.col("run") / fan_in).cast("int"))
     cuts = _boundaries(spans, target_bytes)
-    ranges = []
-    for batch in range(-(-runs // fan_in)):
-        edges = [None, *cuts.get(batch, []), None]
-        ranges += [(batch, len(ranges) + i, edges[i], edges[i + 1]) for i in range(len(edges) - 1)]
-    tasks = spark.createDataFrame(ranges, f"batch int, task int, from_key {key_type}, to_key {key_type}")
-    inside = (F.col("to_key").isNull() | (F.col("lo") < F.col("to_key"))) & (
-        F.col("from_key").isNull() | (F.col("hi") >= F.col("from_key"))
-    )
-    work = spans.join(F.broadcast(tasks), "batch").where(inside)  # tasks: total bytes / target_bytes rows
-    work = work.select("batch", "task", "from_key", "to_key", "run", "piece", "path", "group").repartition(len(ranges), "task")
-    work = work.sortWithinPartitions("task", "run", "piece", "group")
-    meta_ddl = f"run int, piece long, path string, lo {key_type}, hi {key_type}, rows long"
+    ranges, tasks = {}, 0
+    for grp, n in sorted(runs.items()):
+        for batch in range(-(-n // fan_in)):
+            ranges[grp, batch] = Ranges(tasks, tuple(cuts.get((grp, batch), ())))
+            tasks += len(ranges[grp, batch].cuts) + 1
+    final = {g for g, n in runs.items() if n <= fan_in}
+    shared = spark.sparkContext.broadcast(ranges)
+    columns = ["grp", "batch", "run", "piece", "path", "group", "lo", "hi"]
+    placed_ddl = f"grp string, batch int, run int, piece long, path string, `group` int, low int, high int"
+    placed_schema = to_arrow_schema(spark.createDataFrame([], placed_ddl).schema)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            rows = []
+            for *who, lo, hi in zip(*(part.column(i).to_pylist() for i in range(len(columns)))):
+                own = shared.value[who[0], who[1]]
+                rows.append((*who, own.first + own.of(lo), own.first + own.of(hi)))
+            yield _batch(list(zip(*rows)) if rows else [[]] * len(columns), placed_schema)
+
+    work = spans.select(*columns).mapInArrow(place, placed_ddl).withColumn("task", F.explode(F.sequence("low", "high")))
+    work = work.repartitionById(tasks, F.col("task")).sortWithinPartitions("task", "run", "piece", "group")
+    meta_ddl = f"grp string, run int, piece long, path string, lo {key_type}, hi {key_type}, rows long, final boolean"
     meta_schema = to_arrow_schema(spark.createDataFrame([], meta_ddl).schema)
-    # a later pass reads parts of a run, so the row groups of its input are small
-    group_rows = min(65_536, block_rows) if runs <= fan_in else max(16, block_rows // fan_in)
-    codec = "snappy" if runs <= fan_in else "zstd"
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]  # row-group descriptions, not data
-        for _, own in itertools.groupby(rows, lambda r: r["task"]):
-            yield _merge_range(list(own), key, folder, target_bytes, block_rows, fan_in, group_rows, codec, meta_schema)
+        for task, own in itertools.groupby(rows, lambda r: r["task"]):
+            own = list(own)
+            grp, batch = own[0]["grp"], own[0]["batch"]
+            low, high = shared.value[grp, batch].edges(task)
+            last = grp in final
+            target = f"{out.rstrip('/')}/{grp}".rstrip("/") if last else folder
+            # a later pass reads parts of a run, so the row groups of its input are small
+            group_rows = None if last else max(16, block_rows // fan_in)
+            for path, lo, hi, rows_written, place in _merge_range(own, key, target, task, low, high, target_bytes, block_rows, fan_in, group_rows):
+                yield _batch([[x] for x in (grp, batch, place, path, lo, hi, rows_written, last)], meta_schema)
 
     return materialize(work.mapInArrow(merge, meta_ddl), "merged")
 
@@ -271,25 +355,29 @@ def _at_least(keys: pa.ChunkedArray, low) -> pa.ChunkedArray:
     return pc.or_(reached, pc.is_nan(keys)) if pa.types.is_floating(keys.type) else reached
 
 
-def _merge_range(own, key, out, target_bytes, block_rows, fan_in, group_rows, codec, meta_schema) -> pa.RecordBatch:
+def _merge_range(own, key, out, task, low, high, target_bytes, block_rows, fan_in, group_rows) -> Iterator[tuple]:
+    """Writes one key range of a batch; yields ``path, lo, hi, rows, place`` of each file."""
     import os
 
     from pyarrow import fs
 
-    batch, task, low, high = (own[0][c] for c in ("batch", "task", "from_key", "to_key"))
     by_run: dict[int, dict[str, list[int]]] = {}
     for r in own:
         by_run.setdefault(r["run"], {}).setdefault(r["path"], []).append(r["group"])
     if len(by_run) > fan_in:
         raise RuntimeError(f"{len(by_run)} runs to merge at once")
-    share = max(16, block_rows // len(by_run))
+    share = max(16, block_rows // (2 * len(by_run)))
 
     def blocks(pieces: dict[str, list[int]]) -> Iterator[pa.Table]:
+        before = None
         for path, groups in pieces.items():
             with _open(path) as file:
                 for part in file.iter_batches(batch_size=share, row_groups=groups):
-                    block = pa.Table.from_batches([part])
+                    block = _zoned(file, pa.Table.from_batches([part]))
                     keys = block.column(key)
+                    if block.num_rows and (before is not None and _place(keys[0].as_py()) < before or not _ascending(keys)):
+                        raise ValueError(f"{path} is not sorted by {key}")
+                    before = _place(keys[-1].as_py()) if block.num_rows else before
                     keep = [_at_least(keys, low)] if low is not None else []
                     keep += [pc.less(keys, pa.scalar(high, keys.type))] if high is not None else []
                     if keep:
@@ -298,35 +386,42 @@ def _merge_range(own, key, out, target_bytes, block_rows, fan_in, group_rows, co
                         yield block
 
     def row_groups() -> Iterator[pa.Table]:
-        held, n = [], 0
+        held, n, size = [], 0, 0
         for block in merge_blocks([blocks(p) for _, p in sorted(by_run.items())], key):
-            for at in range(0, block.num_rows, group_rows):
-                held.append(block.slice(at, group_rows))
-                n += held[-1].num_rows
-                if n >= group_rows:
+            step = group_rows or max(1, GROUP_BYTES * block.num_rows // max(block.nbytes, 1))
+            for at in range(0, block.num_rows, step):
+                held.append(block.slice(at, step))
+                n, size = n + held[-1].num_rows, size + held[-1].nbytes
+                if n >= group_rows if group_rows else size >= GROUP_BYTES:
                     yield pa.concat_tables(held)
-                    held, n = [], 0
+                    held, n, size = [], 0, 0
         if held:
             yield pa.concat_tables(held)
 
     filesystem, folder = fs.FileSystem.from_uri(out if "://" in out or out.startswith("file:") else f"file://{out}")
     filesystem.create_dir(folder, recursive=True)
-    done, writer, sink, meta = [], None, None, None
+    writer, count = None, 0
     for block in row_groups():
         if writer is None:
-            name = f"part-{task:05d}-{uuid.uuid4().hex}.parquet"
-            sink = filesystem.open_output_stream(os.path.join(folder, name))
-            writer = pq.ParquetWriter(sink, block.schema, compression=codec)
-            place = (task << 32) + len(done)  # pieces of a run in key order
-            meta = [batch, place, f"{out.rstrip('/')}/{name}", block.column(key)[0].as_py(), None, 0]
+            path = f"part-{task:05d}-{uuid.uuid4().hex}.parquet"
+            sink = filesystem.open_output_stream(os.path.join(folder, path))
+            writer = pq.ParquetWriter(sink, block.schema, compression=CODEC)
+            lo, n = block.column(key)[0].as_py(), 0
         writer.write_table(block)
-        meta[4], meta[5] = block.column(key)[-1].as_py(), meta[5] + block.num_rows
+        hi, n = block.column(key)[-1].as_py(), n + block.num_rows
         if sink.tell() >= target_bytes:
             writer.close(), sink.close()
-            done.append(meta)
-            writer = None
+            yield f"{out.rstrip('/')}/{path}", lo, hi, n, (task << 32) + count  # pieces of a run in key order
+            writer, count = None, count + 1
     if writer is not None:
         writer.close(), sink.close()
-        done.append(meta)
-    columns = list(zip(*done)) if done else [[]] * 6
-    return _batch(columns, meta_schema)
+        yield f"{out.rstrip('/')}/{path}", lo, hi, n, (task << 32) + count
+
+
+def _ascending(keys: pa.ChunkedArray) -> bool:
+    if len(keys) < 2:
+        return True
+    whole = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+    a, b = whole.slice(0, len(whole) - 1), whole.slice(1)
+    fits = pc.less_equal(a, b)
+    return bool(pc.all(pc.or_(fits, pc.is_nan(b)) if pa.types.is_floating(whole.type) else fits).as_py())

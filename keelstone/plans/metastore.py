@@ -203,7 +203,7 @@ def p2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = max(64, rows.count() // MERGED_FILE_ROWS)
     small = rows.repartition(files, F.xxhash64("sort_key", "write_version")).sortWithinPartitions("sort_key")
     with shuffles_dropped(spark):
-        small.write.parquet(folder)
+        small.write.option("compression", "zstd").parquet(folder)
     paths = [f"{folder}/{name}" for name, _, _ in list_files(spark, folder)]
     merged = merge_sorted_files(spark, paths, "sort_key", out, MERGED_BYTES)
     kept = [r["path"] for r in merged.select("path").collect()]  # the new files, about one per target_bytes

@@ -272,6 +272,21 @@ def compaction_preserves(spark, sf_dir):
     return table.toDF()
 
 
+@query("select event_id, user_id, event_type, value, ts from events union all select event_id, user_id, event_type, value, ts from events where event_id % 2 = 0")
+def consolidate_files(spark, sf_dir):
+    """Many small sorted files, repeated rows among them, merged into few in one commit."""
+    events = source(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    table = Table(spark, scratch_path(spark, "sorted"))
+    table.write(events, range_partitions="event_type", properties={"keelstone.sortBy": "event_id"})
+    for part in range(3):
+        table.write(events.where(f"event_id % 2 = 0 and event_id % 3 = {part}"), "append")
+    before = len(table.snapshot().files)
+    table.consolidate(min_files=2)
+    if len(table.snapshot().files) >= before:
+        raise RuntimeError("nothing was merged")
+    return table.toDF()
+
+
 @query(f"{DOUBLED} union all {ADDED}")
 def part_compaction(spark, sf_dir):
     table = keyed_orders(spark, sf_dir)

@@ -94,8 +94,11 @@ def write_files(
                 rows = rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__at")
             write_bucketed(rows, folder, directories, meta.hash_columns, meta.bucket_num, compression)
     else:
+        sort_by = meta.properties.get("keelstone.sortBy")
         if directories:
             rows = rows.hint("rebalance", *[F.col(d) for d in directories])
+        if sort_by:
+            rows = rows.sortWithinPartitions(*directories, f"`{sort_by}`")
         writer = rows.write.option("compression", compression)
         (writer.partitionBy(*directories) if directories else writer).parquet(folder)
     files = []

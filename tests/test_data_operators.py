@@ -277,6 +277,43 @@ def test_merge_of_many_runs_in_passes_with_even_ranges(spark, tmp_path):
     assert len(of_task) >= 4 and max(of_task.values()) < hot + len(found) / 5
 
 
+def test_merge_of_groups_given_as_a_table(spark, tmp_path):
+    rng = random.Random(11)
+    runs = [sorted(rng.choice([3, rng.randrange(500)]) for _ in range(rng.randrange(1, 40))) for _ in range(50)]
+    paths = _write_runs(tmp_path, runs)
+    group = lambda i: f"p={i % 3}" if i else "p=once"
+    files = spark.createDataFrame([(p, group(i), i, "x") for i, p in enumerate(paths)], "path string, g string, i int, run string")
+    meta = merge_sorted_files(spark, files, "key", f"{tmp_path}/out", block_rows=64, fan_in=4, group="g", order_by=["i"]).collect()
+    assert {m["grp"] for m in meta} == {"p=0", "p=1", "p=2", "p=once"} and len(meta) == 4
+    for m in meta:
+        assert f"/out/{m['grp']}/" in m["path"]
+        table = pq.ParquetFile(m["path"].replace("file://", "")).read()
+        found = list(zip(*(table.column(c).to_pylist() for c in ("key", "run", "at"))))
+        assert found == sorted((k, r, i) for r, keys in enumerate(runs) if group(r) == m["grp"] for i, k in enumerate(keys))
+    assert merge_sorted_files(spark, files.limit(0), "key", f"{tmp_path}/out").count() == 0
+
+
+def test_merge_refuses_runs_that_are_not_sorted(spark, tmp_path):
+    pq.write_table(pa.table({"key": [1, 3, 2]}), f"{tmp_path}/a.parquet")
+    with pytest.raises(Exception, match="not sorted"):
+        merge_sorted_files(spark, [f"{tmp_path}/a.parquet"], "key", f"{tmp_path}/out")
+
+
+def test_merged_row_groups_are_large_and_ranges_even(spark, tmp_path):
+    rng = random.Random(13)
+    paths = []
+    for i in range(40):  # every run spans the whole key space
+        keys = sorted(rng.randrange(10**6) for _ in range(8_000))
+        paths.append(f"{tmp_path}/{i}.parquet")
+        pq.write_table(pa.table({"key": keys, "text": [f"{k:x}" * 12 for k in keys]}), paths[-1], row_group_size=500)
+    size = sum(pq.read_metadata(p).row_group(g).total_byte_size for p in paths for g in range(16))
+    meta = merge_sorted_files(spark, paths, "key", f"{tmp_path}/out", target_bytes=size // 6).collect()
+    assert sum(m["rows"] for m in meta) == 320_000 and max(m["rows"] for m in meta) < 2 * 320_000 / 6
+    for m in meta:
+        file = pq.ParquetFile(m["path"].replace("file://", ""))
+        assert all(file.read_row_group(g).nbytes >= 2**20 for g in range(file.num_row_groups - 1)) and file.num_row_groups < 4
+
+
 # 3: drifting schemas
 
 

@@ -372,6 +372,32 @@ def test_compaction_keeps_buckets_in_place(spark, tmp_path, settings, ranges, mo
     assert len({(f.range_key, f.bucket) for f in held}) == len(held) and all(f.is_base for f in held)
 
 
+def test_small_sorted_files_are_swapped_in_one_commit(spark, tmp_path, monkeypatch):
+    t = Table(spark, f"{tmp_path}/t")
+    data = spark.range(300).selectExpr("id", "cast(id % 2 as string) as p", "timestamp_seconds(id) as ts", "cast(id as decimal(9,2)) as d", "array(struct(id as x)) as n")
+    t.write(data, range_partitions="p", properties={"keelstone.sortBy": "ID"})
+    for i in range(9):
+        t.write(data.where(f"id % 9 = {i}"), "append")
+    t.write(data.where("id < 3").withColumn("late", F.lit("x")), "append", merge_schema=True)
+    wanted, before = rows(t.toDF()), len(t.snapshot().files)
+    with monkeypatch.context() as m:
+        m.setattr(Table, "_commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost before the commit")))
+        with pytest.raises(RuntimeError):
+            t.consolidate(fan_in=3)
+    assert len(t.snapshot().files) == before and rows(t.toDF()) == wanted
+    t.consolidate(fan_in=3)
+    assert rows(t.toDF()) == wanted and len(t.snapshot().files) == 4  # one per partition and list of columns
+    for f in t.snapshot().files.values():
+        ids = [r[0] for r in spark.read.parquet(f"{t.path}/{f.path}").select("id").collect()]
+        assert ids == sorted(ids)
+    t.delete("id = 5")
+    assert rows(t.toDF()) == [r for r in wanted if 5 not in r[:1]]
+    with pytest.raises(SchemaError):
+        Table(spark, f"{tmp_path}/u").write(data, properties={"keelstone.sortBy": "zz"})
+    with pytest.raises(UnsupportedError):
+        keyed(spark, f"{tmp_path}/k", [(1, 2)], "k int, v int", "k").consolidate()
+
+
 def test_joins_and_set_operations_on_keys_have_no_shuffle(spark, tmp_path, settings):
     settings("spark.sql.autoBroadcastJoinThreshold", "-1")
     left, wanted = layered(spark, tmp_path / "left", True)
