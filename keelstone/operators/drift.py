@@ -6,11 +6,15 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from keelstone.operators.skew import running_total
+from keelstone.operators.sorted_runs import open_parquet
+from keelstone.session import list_files, qualified
 
 # --- fixed values ---
 #: Other names of the same type.
@@ -85,6 +89,22 @@ def schema_entries(schema: dict | None, parent: str = "") -> list[tuple]:
 
 def compare_entries(old: Sequence[tuple], new: Sequence[tuple]) -> list[tuple[str, str]]:
     """``(change, field_name)`` between two path-type maps; see :func:`schema_changes` for the rules."""
+    changes = []
+    for was, now, kind in _differences(old, new):
+        changes.append((kind, _full(now or was)))
+    return changes
+
+
+def renamed_paths(old: Sequence[tuple], new: Sequence[tuple]) -> dict[str, str]:
+    """Old and new path (lower case) of each renamed field, by the same rules."""
+    return {_full(was): _full(now) for was, now, kind in _differences(old, new) if kind == "renamed"}
+
+
+def _full(entry: tuple) -> str:
+    return f"{entry[0]}{entry[1]}".lower()
+
+
+def _differences(old: Sequence[tuple], new: Sequence[tuple]) -> list[tuple[tuple | None, tuple | None, str]]:
     old_of: dict[str, list[tuple]] = {}
     new_of: dict[str, list[tuple]] = {}
     for source, target in ((old, old_of), (new, new_of)):
@@ -94,7 +114,7 @@ def compare_entries(old: Sequence[tuple], new: Sequence[tuple]) -> list[tuple[st
     return _compare_level("", "", old_of, new_of, by_id)
 
 
-def _compare_level(old_parent: str, new_parent: str, old_of: dict, new_of: dict, by_id: bool) -> list[tuple[str, str]]:
+def _compare_level(old_parent: str, new_parent: str, old_of: dict, new_of: dict, by_id: bool) -> list[tuple]:
     before, after = old_of.get(old_parent, []), new_of.get(new_parent, [])
     pairs: list[tuple[tuple, tuple]] = []
     waiting: dict[object, list[tuple]] = {}
@@ -116,52 +136,75 @@ def _compare_level(old_parent: str, new_parent: str, old_of: dict, new_of: dict,
                 pairs.append((was, e))
                 added.remove(e)
                 removed.remove(was)
-    full = lambda e: f"{e[0]}{e[1]}".lower()
-    changes = [("added", full(e)) for e in added] + [("removed", full(e)) for e in removed]
+    changes: list[tuple] = [(None, e, "added") for e in added] + [(e, None, "removed") for e in removed]
     for was, now in pairs:
         if was[1].lower() != now[1].lower():
-            changes.append(("renamed", full(now)))
+            changes.append((was, now, "renamed"))
         if was[2] == now[2] == "struct":
             changes += _compare_level(f"{was[0]}{was[1]}.", f"{now[0]}{now[1]}.", old_of, new_of, by_id)
         elif was[2] != now[2]:
-            changes.append(("retyped", full(now)))
+            changes.append((was, now, "retyped"))
     return changes
 
 
-@F.pandas_udf(T.ArrayType(ENTRY))
-def path_types(texts: pd.Series) -> pd.Series:
-    """The path-type map of each JSON schema; null for a missing or unreadable one."""
+#: A path-value map: raw type and value (as text) of each lower-case path.
+ROW_VALUES = T.MapType(T.StringType(), T.StructType([T.StructField("type", T.StringType()), T.StructField("value", T.StringType())]))
+#: What is known of a field besides its type, and the type it must have.
+FIELD_TYPES = {"parent": "string", "name": "string", "position": "int", "id": "string"}
+
+
+@F.pandas_udf(ROW_VALUES)
+def schema_values(texts: pd.Series) -> pd.Series:
+    """Each JSON schema as a path-value map: a field's raw type, and where and under which id it stands as a JSON value.
+
+    Null for a missing or unreadable schema.  Of paths that differ in case only, later ones are marked by a number.
+    """
     known: dict = {}
 
-    def entries(text):
+    def values(text):
         if text not in known:
-            schema = _parse(text)
-            known[text] = None if schema is None else [dict(zip(ENTRY.names, e)) for e in schema_entries(schema)]
+            schema, found = _parse(text), {}
+            for entry in schema_entries(schema):
+                path = _full(entry)
+                while path in found:
+                    path += "#"
+                rest = {"parent": entry[0], "name": entry[1], "position": entry[3], "id": entry[4]}
+                found[path] = {"type": entry[2], "value": json.dumps(rest)}
+            known[text] = None if schema is None else found
         return known[text]
 
-    return texts.map(entries)
+    return texts.map(values)
 
 
 @F.pandas_udf(T.ArrayType(CHANGE))
-def schema_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    """What changed from one JSON schema to the next."""
-    known: dict = {}
-
-    def entries(text):
-        if text not in known:
-            schema = _parse(text)
-            known[text] = None if schema is None else schema_entries(schema)
-        return known[text]
+def fields_diff(old: pd.Series, new: pd.Series) -> pd.Series:
+    """What changed from one list of fields (:data:`ENTRY`) to the next."""
+    def entries(fields) -> list[tuple]:
+        return [tuple(None if pd.isna(f[c]) else f[c] for c in ENTRY.names) for f in fields]
 
     out = []
-    for a, b in zip(map(entries, old), map(entries, new)):
-        changes = [] if a is None or b is None else compare_entries(a, b)
+    for a, b in zip(old, new):
+        changes = [] if a is None or b is None else compare_entries(entries(a), entries(b))
         out.append([{"change": c, "field_name": f} for c, f in changes])
     return pd.Series(out)
 
 
+def schema_fields(versions: DataFrame, by: Sequence[str], schema: str) -> DataFrame:
+    """``by, path, parent, name, type, position, id, failed_casts``: every field of every schema version.
+
+    A version is a file of one row: it is loaded as a path-value map, path and raw type are counted per version, and what
+    is known of each field is projected to typed columns.
+    """
+    maps = versions.select(*by, schema_values(F.col(schema)).alias("row_values"))
+    statistics = path_type_statistics(maps, by)
+    known = F.transform_values(F.from_json("value", "map<string,string>"), lambda _, v: F.struct(F.lit("string").alias("type"), v.alias("value")))
+    fields = typed_table(statistics.select(F.struct(*by, "path", "type").alias("file"), known.alias("row_values")), FIELD_TYPES)
+    return fields.select("file.*", *FIELD_TYPES, "failed_casts")
+
+
 def schema_changes(
-    versions: DataFrame, table: str, order_by: Sequence[str], commit: str, schema: str, skip_unreadable: bool = False
+    versions: DataFrame, table: str, order_by: Sequence[str], commit: str, schema: str, skip_unreadable: bool = False,
+    fields: DataFrame | None = None,
 ) -> DataFrame:
     """``table, commit, change, field_name``: each change between consecutive schema versions of a table.
 
@@ -171,20 +214,23 @@ def schema_changes(
     parent with the same type other than struct are one renamed field.  Structs are compared field by field; an added,
     removed or replaced struct counts once.  Case, order, nullability, comments and synonyms of types are no changes.
 
-    A missing schema is no version and is skipped.  So is an unreadable one with ``skip_unreadable``, and the next version
-    is compared with the last readable one; otherwise it is not compared with its neighbours.  Versions are numbered by
-    exact offsets and each is joined with its predecessor, so a table with very many versions is spread over tasks.  No
-    versions give no rows.
+    The fields of a version come from its path-type statistics (:func:`schema_fields`, which may be given).  A missing
+    schema is no version and is skipped.  So is an unreadable one with ``skip_unreadable``, and the next version is compared
+    with the last readable one; otherwise it is not compared with its neighbours.  A readable schema without fields counts
+    as an unreadable one.  Versions are numbered by exact offsets and each is joined with its predecessor, so a table with
+    very many versions is spread over tasks.  No versions give no rows.
     """
-    readable = versions.select(table, commit, *[c for c in order_by if c != commit], schema)
-    readable = readable.where(F.trim(F.col(schema)) != "")
-    if skip_unreadable:
-        readable = readable.where(path_types(schema).isNotNull())
-    numbered = running_total(readable, [table], order_by, None, "_no")
-    keyed = numbered.select(table, commit, "_no", schema)
-    before = keyed.select(table, (F.col("_no") + 1).alias("_no"), F.col(schema).alias("_old"))
-    pairs = keyed.join(before, [table, "_no"])
-    change = F.explode(schema_diff("_old", schema)).alias("c")
+    if fields is None:
+        fields = schema_fields(versions, [table, commit], schema)
+    entry = F.struct(*ENTRY.names)
+    listed = fields.groupBy(table, commit).agg(F.sort_array(F.collect_list(entry)).alias("_fields"))  # of one schema
+    present = versions.where(F.trim(F.col(schema)) != "").select(table, commit, *[c for c in order_by if c != commit])
+    present = present.join(listed, [table, commit], "inner" if skip_unreadable else "left")
+    numbered = running_total(present, [table], order_by, None, "_no")
+    keyed = numbered.select(table, commit, "_no", "_fields")
+    before = keyed.select(table, (F.col("_no") + 1).alias("_no"), F.col("_fields").alias("_old"))
+    pairs = keyed.join(before, [table, "_no"]).where("_old <> _fields or _old is null or _fields is null")
+    change = F.explode(fields_diff("_old", "_fields")).alias("c")
     return pairs.select(table, commit, change).select(table, commit, "c.change", "c.field_name")
 
 
@@ -200,19 +246,67 @@ def _leaves(schema: T.StructType, prefix: list[str]) -> Iterator[tuple[list[str]
             yield path, field.dataType
 
 
-def raw_maps(df: DataFrame, file: Column | None = None) -> DataFrame:
+#: Times inside nested values keep their microseconds.
+JSON_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
+def _entries_type(kind: T.DataType) -> T.DataType:
+    """The type with maps as arrays of entries, whose keys may be of any type."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _entries_type(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_entries_type(kind.elementType))
+    if isinstance(kind, T.MapType):
+        entry = [T.StructField("key", _entries_type(kind.keyType)), T.StructField("value", _entries_type(kind.valueType))]
+        return T.ArrayType(T.StructType(entry))
+    return kind
+
+
+def _without_maps(value: Column, kind: T.DataType) -> Column:
+    if not _has_map(kind):
+        return value
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_without_maps(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _without_maps(x, kind.elementType))
+    return F.transform(F.map_entries(value), lambda e: F.struct(
+        _without_maps(e["key"], kind.keyType).alias("key"), _without_maps(e["value"], kind.valueType).alias("value")))
+
+
+def _with_maps(value: Column, kind: T.DataType) -> Column:
+    if not _has_map(kind):
+        return value
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_with_maps(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _with_maps(x, kind.elementType))
+    return F.map_from_entries(F.transform(value, lambda e: F.struct(
+        _with_maps(e["key"], kind.keyType).alias("key"), _with_maps(e["value"], kind.valueType).alias("value"))))
+
+
+def raw_maps(df: DataFrame, file: Column | None = None, renames: dict[str, str] | None = None) -> DataFrame:
     """``file, row_values, clashes``: each row as a map from lower-case path to ``struct<type, value>``; nulls are left out.
 
-    Structs contribute one path per inner field; arrays and maps are kept as JSON text of their raw type, binary values
-    as base64.  Of names that differ in case only, the first non-null one counts; ``clashes`` has the other values.
+    Structs contribute one path per inner field; arrays and maps are kept as JSON text of their raw type (maps as arrays
+    of entries), binary values as base64.  ``renames`` gives paths their newer names.  Of names that differ in case only,
+    the first non-null one counts; ``clashes`` has the other values.
     """
     by_path: dict[str, list[Column]] = {}
     for path, kind in _leaves(df.schema, []):
         column = F.col(".".join(f"`{p}`" for p in path))
-        nested = isinstance(kind, (T.ArrayType, T.MapType))
-        value = F.to_json(column) if nested else (F.base64(column) if isinstance(kind, T.BinaryType) else column.cast("string"))
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            value = F.to_json(_without_maps(column, kind), JSON_FORMATS)
+        else:
+            value = F.base64(column) if isinstance(kind, T.BinaryType) else column.cast("string")
         entry = F.struct(F.lit(kind.simpleString()).alias("type"), value.alias("value"))
-        by_path.setdefault(".".join(path).lower(), []).append(F.when(column.isNotNull(), entry))
+        name = ".".join(path).lower()
+        by_path.setdefault((renames or {}).get(name, name), []).append(F.when(column.isNotNull(), entry))
     entries = [F.struct(F.lit(p).alias("key"), F.coalesce(*c).alias("value")) for p, c in by_path.items()]
     present = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
     lost = []
@@ -225,10 +319,11 @@ def raw_maps(df: DataFrame, file: Column | None = None) -> DataFrame:
     return df.select(source.alias("file"), F.map_from_entries(present).alias("row_values"), clashes.alias("clashes"))
 
 
-def path_type_statistics(maps: DataFrame) -> DataFrame:
-    """``file, path, type, n``: how many rows of a file have a value of this raw type at this path."""
-    entries = maps.select("file", F.explode("row_values").alias("path", "v"))
-    return entries.groupBy("file", "path", F.col("v.type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+def path_type_statistics(maps: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
+    """``by, path, type, n, value``: how many rows of a file have a value of this raw type at this path, and the least one."""
+    entries = maps.select(*by, F.explode("row_values").alias("path", "v"))
+    counts = entries.groupBy(*by, "path", F.col("v.type").alias("type"))
+    return counts.agg(F.count(F.lit(1)).alias("n"), F.min("v.value").alias("value"))
 
 
 def consistent_types(
@@ -259,7 +354,8 @@ def consistent_types(
 def _typed(raw: Column, value: Column, kind: str) -> Column:
     """A path's value as ``kind``; null if it does not fit or would be rounded."""
     if kind.startswith(("array", "map")):
-        return F.from_json(value, kind)
+        wanted = T.StructType.fromDDL(f"x {kind}")["x"].dataType
+        return _with_maps(F.from_json(value, _entries_type(wanted), JSON_FORMATS), wanted)
     as_bytes = F.when(raw == "binary", F.unbase64(value))
     if kind == "binary":
         return F.coalesce(as_bytes, value.cast("binary"))
@@ -292,25 +388,66 @@ def typed_table(maps: DataFrame, types: dict[str, str]) -> DataFrame:
     return maps.select("file", *fit, problems.alias("failed_casts"))
 
 
-def read_unified(spark: SparkSession, paths: Sequence[str], wanted: dict[str, str] | None = None) -> DataFrame:
+def file_schemas(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
+    """``(file, schema)`` of every Parquet file, folders taken apart; executors read the footers.
+
+    The schema is Spark's JSON, from the footer or, for files of other writers, from the Arrow schema.
+    """
+    files = []
+    for path in paths:
+        inner = list_files(spark, qualified(path)) if not path.endswith(".parquet") or path.endswith("/") else []
+        files += [f"{qualified(path)}/{name}" for name, _, _ in inner] or [qualified(path)]
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column(1).to_pylist():
+                with open_parquet(path) as file:
+                    stored = (file.schema_arrow.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata")
+                    found.append(stored.decode() if stored else from_arrow_schema(file.schema_arrow).json())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["at", "path", "schema"])
+
+    listed = spark.createDataFrame(list(enumerate(files)), "at long, path string")
+    slices = max(1, min(len(files), spark.sparkContext.defaultParallelism * 4))
+    read = listed.repartition(slices).mapInArrow(footers, "at long, path string, schema string")
+    return [(r["path"], r["schema"]) for r in read.orderBy("at").collect()]  # one short row per file, as in Spark's file index
+
+
+def read_unified(
+    spark: SparkSession, paths: Sequence[str], wanted: dict[str, str] | None = None, renames: dict[str, str] | None = None,
+    follow_renames: bool = False,
+) -> DataFrame:
     """Parquet files of drifting schemas as one typed table (see :func:`typed_table`).
 
     Files of equal schema are read together; each schema is loaded as path-value maps, types are settled from the
-    statistics over all files, and the typed projection reports casts that fail.  A path may be a folder of files of one
-    schema.  A column that no row has a value for is there all the same.
+    statistics over all files, and the typed projection reports casts that fail.  A path may be a folder.  A column that no
+    row has a value for is there all the same.
+
+    ``renames`` maps older paths (lower case, dotted) to newer ones.  With ``follow_renames`` the schemas, in the order in
+    which the paths first show them, are versions, and a field renamed from one to the next (by id, or by place and type,
+    as in :func:`schema_changes`) is one column under its newest name.
     """
+    if not paths:
+        raise ValueError("no files")
     groups: dict[str, list[str]] = {}
-    for path in paths:
-        groups.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
+    for path, schema in file_schemas(spark, paths):
+        groups.setdefault(schema, []).append(path)
+    newer = dict(renames or {})
+    if follow_renames:
+        versions = [schema_entries(json.loads(text)) for text in groups]
+        for old, new in zip(versions, versions[1:]):
+            for was, now in renamed_paths(old, new).items():
+                newer = {k: now if v == was else v for k, v in newer.items()} | {was: now}
     maps, declared = None, {}
-    for members in groups.values():
-        df = spark.read.parquet(*members)
+    for text, members in groups.items():
+        df = spark.read.schema(T.StructType.fromJson(json.loads(text))).parquet(*members)
+        here = {_full(e) for e in schema_entries(json.loads(text))}
+        own = {was: now for was, now in newer.items() if now not in here}  # a name that came back is a field of its own
         for path, kind in _leaves(df.schema, []):
-            declared.setdefault(".".join(path).lower(), set()).add(kind.simpleString())
-        own = raw_maps(df)
-        maps = own if maps is None else maps.unionByName(own)
-    if maps is None:
-        raise ValueError("no files")
+            name = ".".join(path).lower()
+            declared.setdefault(own.get(name, name), set()).add(kind.simpleString())
+        part = raw_maps(df, renames=own)
+        maps = part if maps is None else maps.unionByName(part)
     return typed_table(maps, consistent_types(path_type_statistics(maps), wanted, declared))
 
 
@@ -323,3 +460,7 @@ def clean_names(columns: Column) -> Column:
     return F.array_distinct(F.filter(names, lambda n: n != ""))
 
 
+def column_values(columns: Column) -> Column:
+    """A comma list of columns as a path-value map of paths whose types and values are not known."""
+    unknown = F.struct(F.lit("unknown").alias("type"), F.lit(None).cast("string").alias("value"))
+    return F.map_from_entries(F.transform(clean_names(columns), lambda n: F.struct(n.alias("key"), unknown.alias("value"))))

@@ -130,7 +130,7 @@ def read_spans(listed: DataFrame, key: str, key_type: str, target_bytes: int) ->
         for batch in batches:
             rows = []
             for grp, run, piece, path in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                with _open(path) as file:
+                with open_parquet(path) as file:
                     meta = file.metadata
                     leaves = [meta.schema.column(i).path for i in range(meta.num_columns)]
                     column = leaves.index(key)  # nested columns have several leaves, so places differ from the fields'
@@ -160,7 +160,7 @@ def _batch(columns: Sequence[Sequence], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
-def _open(path: str) -> pq.ParquetFile:
+def open_parquet(path: str) -> pq.ParquetFile:
     from pyarrow import fs
 
     if "://" in path or path.startswith("file:"):
@@ -371,7 +371,7 @@ def _merge_range(own, key, out, task, low, high, target_bytes, block_rows, fan_i
     def blocks(pieces: dict[str, list[int]]) -> Iterator[pa.Table]:
         before = None
         for path, groups in pieces.items():
-            with _open(path) as file:
+            with open_parquet(path) as file:
                 for part in file.iter_batches(batch_size=share, row_groups=groups):
                     block = _zoned(file, pa.Table.from_batches([part]))
                     keys = block.column(key)

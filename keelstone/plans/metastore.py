@@ -9,13 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelstone.functions.metadata import file_name, is_reference, month_of
-from keelstone.operators.drift import clean_names, path_types, read_unified, schema_changes
+from keelstone.operators.drift import column_values, path_type_statistics, read_unified, schema_changes, schema_fields
 from keelstone.operators.incremental import StateStore
 from keelstone.operators.orphans import orphan_references
-from keelstone.operators.skew import chunked_aggregate, heavy_keys, replicate_for_salt, salt_of
+from keelstone.operators.skew import HEAVY_SHARE, chunked_aggregate, heavy_keys, replicate_for_salt, salt_of
 from keelstone.operators.sorted_runs import merge_sorted_files, plan_merges
-from keelstone.session import materialize, scratch_path, shuffles_dropped
-from keelstone.sources.files import list_files
+from keelstone.session import list_files, materialize, scratch_path, shuffles_dropped
 
 NEVER = 9223372036854775807
 PARTITION = ["table_id", "range_id"]
@@ -237,24 +236,29 @@ def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of fields between consecutive schema versions, and columns of files that no version declares."""
+    """Changes of fields between consecutive schema versions, and columns of files that no version declares.
+
+    Schema versions and the column lists of files are loaded as path-value maps; their path-type statistics give the
+    fields of each version, which are compared, and the paths of each list, which are looked up among the declared ones.
+    """
     versions = materialize(schema_versions(spark, sf_dir), "p3-versions")
-    changes = schema_changes(versions, "table_id", ["place"], "commit_id", "table_schema", skip_unreadable=True)
+    fields = materialize(schema_fields(versions, ["table_id", "commit_id"], "table_schema"), "p3-fields")
+    changes = schema_changes(versions, "table_id", ["place"], "commit_id", "table_schema", skip_unreadable=True, fields=fields)
 
     tracked = versions.where("commit_id <> 'table_info'").select("table_id").distinct()
-    entries = versions.join(tracked, "table_id", "left_semi").select(
-        "table_id", F.explode(path_types("table_schema")).alias("e")
-    )
-    declared = entries.where("e.parent = ''").select("table_id", F.lower("e.name").alias("field_name")).distinct()
+    declared = fields.where("parent = ''").select("table_id", F.lower("name").alias("path")).distinct()
     files = table(spark, sf_dir, "data_info").select("table_id", "commit_id", "file_exist_cols")
-    files = files.where("table_id is not null and commit_id is not null and file_exist_cols is not null").distinct()
-    lists = materialize(files.groupBy("table_id", "file_exist_cols").agg(F.count(F.lit(1)).alias("n")), "p3-lists")
-    names = lists.join(tracked, "table_id", "left_semi").select(
-        "table_id", "file_exist_cols", F.explode(clean_names(F.col("file_exist_cols"))).alias("field_name")
-    )
-    undeclared = names.join(declared, ["table_id", "field_name"], "left_anti")
-    undeclared = files.join(undeclared, ["table_id", "file_exist_cols"])
-    undeclared = undeclared.select("table_id", "commit_id", F.lit("undeclared").alias("change"), "field_name").distinct()
+    files = files.where("table_id is not null and commit_id is not null and file_exist_cols is not null")
+    listed = ["table_id", "file_exist_cols"]
+    lists = materialize(files.groupBy(*listed).agg(F.count(F.lit(1)).alias("n")), "p3-lists")
+    maps = lists.join(tracked, "table_id", "left_semi").select(*listed, column_values(F.col("file_exist_cols")).alias("row_values"))
+    undeclared = path_type_statistics(maps, listed).join(declared, ["table_id", "path"], "left_anti")
+    everything = lists.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    heavy = [tuple(r) for r in lists.where(F.col("n") >= everything * HEAVY_SHARE).orderBy(F.desc("n")).limit(int(1 / HEAVY_SHARE)).select(*listed).collect()]
+    files = files.withColumn("_salt", salt_of([F.col(c) for c in listed], [F.col("commit_id")], heavy))
+    names = replicate_for_salt(undeclared.select(*listed, "path"), listed, heavy)
+    undeclared = files.join(names, [*listed, "_salt"])
+    undeclared = undeclared.select("table_id", "commit_id", F.lit("undeclared").alias("change"), F.col("path").alias("field_name")).distinct()
     return changes.unionByName(undeclared)
 
 
@@ -262,7 +266,7 @@ def drifted_files(spark: SparkSession, sf_dir: str) -> list[str]:
     """All rows of data_info in four folders, by write_version modulo 4, whose schemas differ as by several writers.
 
     0 as stored; 1 names in capitals, a wider ``part``, sizes as text, implausible ones with their unit; 2 without
-    is_base_file; 3 modification_time as text and a further column.
+    is_base_file; 3 commit_id under a new name, modification_time as text and a further column.
     """
     rows = table(spark, sf_dir, "data_info").withColumn("part", F.pmod(F.coalesce("write_version", F.lit(0)), F.lit(4)).cast("int"))
     size = F.when(F.col("size") > 0, F.col("size").cast("string")).otherwise(F.concat(F.col("size").cast("string"), F.lit(" bytes")))
@@ -271,7 +275,7 @@ def drifted_files(spark: SparkSession, sf_dir: str) -> list[str]:
         rows,
         wide.toDF(*[c.upper() for c in wide.columns]),
         rows.drop("is_base_file"),
-        rows.withColumn("modification_time", F.col("modification_time").cast("string")).withColumn("writer", F.lit("late")),
+        rows.withColumnRenamed("commit_id", "commit_ref").withColumn("modification_time", F.col("modification_time").cast("string")).withColumn("writer", F.lit("late")),
     ]
     folder = scratch_path(spark, "p3-drifted")
     for i, written in enumerate(writers):
@@ -281,11 +285,11 @@ def drifted_files(spark: SparkSession, sf_dir: str) -> list[str]:
 
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of data_info, stored as files of drifting schemas, as one typed table with the casts that failed."""
-    unified = read_unified(spark, drifted_files(spark, sf_dir), {"size": "long", "modification_time": "long"})
+    unified = read_unified(spark, drifted_files(spark, sf_dir), {"size": "long", "modification_time": "long"}, follow_renames=True)
     failed = F.array_join(F.transform("failed_casts", lambda c: F.concat_ws(":", c["path"], c["type"], c["value"])), ";")
     return unified.select(
-        "table_id", "range_id", "file_path", "write_version", "expire_version", "commit_id", "size", "modification_time",
-        "file_exist_cols", "is_base_file", "part", "writer", F.to_json("hash_value").alias("hash_value"), failed.alias("failed"),
+        "table_id", "range_id", "file_path", "write_version", "expire_version", F.col("commit_ref").alias("commit_id"), "size",
+        "modification_time", "file_exist_cols", "is_base_file", "part", "writer", F.to_json("hash_value").alias("hash_value"), failed.alias("failed"),
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import time
 import uuid
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelstone.operators.merge import Layer, MergeOperator, merge_layers, newest_rows
-from keelstone.session import _filesystem, local_path
+from keelstone.session import list_files
 from keelstone.sources.bucketed import bucket_in_name, buckets_kept, is_placed, read_bucketed, write_bucketed
 from keelstone.sources.log import UNPARTITIONED, DataFile, Meta, Snapshot
 from keelstone.sources.schema import align, check_rows, file_schema
@@ -41,30 +40,6 @@ def bucket_of(keys: Sequence[str], buckets: int, schema: T.StructType | None = N
     return F.pmod(F.hash(*[F.col(f"`{k}`") for k in keys]), F.lit(buckets))
 
 
-def list_files(spark: SparkSession, folder: str, suffix: str = ".parquet") -> list[tuple[str, int, int]]:
-    """(path below ``folder``, size, modification time in ms) of every file with the suffix."""
-    found = []
-    if folder.startswith("file:"):
-        root = local_path(folder)
-        for at, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(suffix) and not name.startswith((".", "_")):
-                    stat = os.stat(os.path.join(at, name))
-                    found.append((os.path.relpath(os.path.join(at, name), root), stat.st_size, int(stat.st_mtime * 1000)))
-        return sorted(found)
-    fs, path = _filesystem(spark, folder)
-    if not fs.exists(path):
-        return []
-    prefix = len(fs.makeQualified(path).toString().rstrip("/")) + 1
-    files = fs.listFiles(path, True)
-    while files.hasNext():
-        status = files.next()
-        name = status.getPath().getName()
-        if name.endswith(suffix) and not name.startswith((".", "_")):
-            found.append((status.getPath().toString()[prefix:], status.getLen(), status.getModificationTime()))
-    return sorted(found)
-
-
 def write_files(
     df: DataFrame, meta: Meta, table_path: str, *, base: bool = False, checked: bool = True, unique: bool = False
 ) -> list[DataFile]:

@@ -396,6 +396,46 @@ def test_unified_table_changes_no_value_silently(spark, tmp_path):
     }
 
 
+KINDS = {
+    "boolean": "id % 2 = 0", "tinyint": "id", "smallint": "-id", "int": "id * 1000003", "bigint": "9223372036854775807 - id", "float": "id / 3", "double": "id / 7",
+    "decimal(38,18)": "id / 9", "string": "concat('\"', id, ',é')", "binary": "unhex('00ff10')", "date": "date_add('1890-01-01', int(id * 9999))",
+    "timestamp": "timestamp_micros(id * 1234567891234567)", "timestamp_ntz": "timestamp_ntz'1969-12-31 23:59:59.123456'",
+    "array<timestamp>": "array(timestamp_micros(id * 1000003), null)", "array<binary>": "array(unhex('00ff'), null, unhex(''))", "map<int,string>": "map(int(id), 'a', 7000, null)",
+    "map<date,array<map<bigint,decimal(9,2)>>>": "map(date'2020-01-31', array(map(id, 1.5), null, map()))", "struct<a:int,b:struct<c:string>>": "named_struct('a', id, 'b', named_struct('c', null))",
+    "array<struct<x:map<boolean,double>,y:int>>": "array(named_struct('x', map(true, 0.1), 'y', null), null)", "array<array<string>>": "array(array(), null, array('x', null))",
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_unified_values_survive_the_way_through_maps(spark, tmp_path, kind):
+    from keelstone.operators.drift import typed_table, raw_maps
+
+    written = spark.range(40).selectExpr("id", f"case when id % 8 <> 5 then cast({KINDS[kind]} as {kind}) end as v")
+    written.write.parquet(f"{tmp_path}/a")
+    spark.range(40, 42).write.parquet(f"{tmp_path}/b")
+    back = read_unified(spark, [f"{tmp_path}/a", f"{tmp_path}/b"])
+    assert back.where("size(failed_casts) > 0").count() == 0
+    columns = ["id", *[c for c in back.columns if c.startswith("v")]]
+    flat = "id, v.a as v__a, v.b.c as v__b__c" if kind.startswith("struct") else "id, v"
+    wanted = written.selectExpr(*flat.split(", "))
+    assert sorted(columns) == sorted(wanted.columns) and [back.schema[c].dataType for c in wanted.columns] == [f.dataType for f in wanted.schema.fields]
+    assert rows(back.where("id < 40").select(*wanted.columns)) == rows(wanted) and back.count() == 42
+
+
+def test_renamed_columns_are_followed(spark, tmp_path):
+    spark.createDataFrame([(1, "a", 1.5)], "id int, name string, x double").write.parquet(f"{tmp_path}/1")
+    spark.createDataFrame([(2, "b", 2.5)], "id int, label string, x double").write.parquet(f"{tmp_path}/2")
+    spark.createDataFrame([(3, "c", 3.5, "n")], "id int, Title string, x double, name string").write.parquet(f"{tmp_path}/3")
+    paths = [f"{tmp_path}/{i}" for i in (1, 2, 3)]
+    found = read_unified(spark, paths, follow_renames=True)
+    assert rows(found.select("id", "title", "name", "x")) == [(1, "a", None, 1.5), (2, "b", None, 2.5), (3, "c", "n", 3.5)]
+    given = read_unified(spark, paths[:2], renames={"name": "label"})
+    assert rows(given.select("id", "label")) == [(1, "a"), (2, "b")] and "name" not in given.columns
+    assert {"name", "label", "title"} <= set(read_unified(spark, paths).columns)
+    with pytest.raises(ValueError):
+        read_unified(spark, [])
+
+
 # 5: references
 
 
