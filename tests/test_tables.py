@@ -559,6 +559,30 @@ def test_concurrent_upserts_all_count(spark, table):
     assert not failures and table.toDF("hash >= 100").count() == 3
 
 
+def test_log_of_many_commits_and_many_partitions(spark, tmp_path):
+    import time
+
+    from keelstone.sources.log import CHECKPOINT_EVERY, DELTA, SIMPLE, CommitLog, Meta
+
+    log = CommitLog(spark, f"file://{tmp_path}/t")
+    raw = lambda p, i: {"path": f"data/{i}/p={p}", "range_key": f"p={p}", "range_values": {"p": str(p)}, "bucket": 0, "size": 1, "columns": ["a"]}
+    began = time.time()
+    log.commit(log.snapshot(), {"kind": SIMPLE, "meta": Meta("t", "{}").__dict__, "add": [raw(p, 0) for p in range(100_000)]})
+    log.commit(log.snapshot(), {"kind": DELTA, "add": [raw(p, 1) for p in range(100_000)]})
+    assert time.time() - began < 20  # both together take a few seconds; work in proportion to partitions x files would take hours
+    for i in range(2, 2 * CHECKPOINT_EVERY + 3):
+        log.commit(log.snapshot(), {"kind": DELTA, "add": [raw(7, i)]})
+    assert len(list((tmp_path / "t" / "_log").glob("*.checkpoint"))) == 1  # the few later changes are not worth another state of 200,000 files
+    reads = []
+    fresh = CommitLog(spark, f"file://{tmp_path}/t")
+    fresh._read = lambda name: reads.append(name) or CommitLog._read(fresh, name)
+    assert fresh.snapshot() == log.snapshot() and len(reads) == 5  # the state, a batch and three commits
+    held = fresh.snapshot()
+    log.commit(log.snapshot(), {"kind": SIMPLE, "expire": ["data/1/p=7"], "touched": ["p=7"]})
+    assert "data/1/p=7" in held.files and "data/1/p=7" not in fresh.snapshot().files
+    assert fresh.snapshot().partitions["p=7"].deltas == log.snapshot().partitions["p=7"].deltas
+
+
 def test_log_checkpoint_and_replay(spark, tmp_path):
     from keelstone.sources.log import CHECKPOINT_EVERY, CommitLog, Snapshot
 
