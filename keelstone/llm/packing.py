@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelstone.session import materialize
 
@@ -58,6 +59,47 @@ def pack_group(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: in
     return place
 
 
+def cut_item(tokens: int, quiet: list[int], capacity: int, loss_capacity: int) -> list[tuple[int, int, int]]:
+    """``(first, tokens, loss)`` of as few pieces as fit: each is as long as both limits allow from where the last ended."""
+    starts, sizes = np.array(quiet[0::2], np.int64), np.array(quiet[1::2], np.int64)
+    before = np.concatenate([[0], np.cumsum(sizes)])  # quiet tokens before each run
+    bearing = starts - before[:-1]  # loss-bearing tokens before each run
+
+    def loss_until(at: int) -> int:
+        i = int(np.searchsorted(starts, at, "left"))
+        inside = max(0, int(starts[i - 1] + sizes[i - 1]) - at) if i else 0
+        return at - int(before[i]) + inside
+
+    pieces, at = [], 0
+    while at < tokens:
+        spent = loss_until(at)
+        target = spent + loss_capacity
+        reach = target + int(before[np.searchsorted(bearing, target, "right")])
+        end = min(reach, at + capacity, tokens)
+        pieces.append((at, end - at, loss_until(end) - spent))
+        at = end
+    return pieces
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("first_token", "tokens", "loss_tokens")])))
+def _cut(tokens: pd.Series, quiet: pd.Series, capacity: pd.Series, loss_capacity: pd.Series) -> pd.Series:
+    found = []
+    for n, runs, most, loss in zip(tokens, quiet, capacity, loss_capacity):
+        pieces = cut_item(int(n), [] if runs is None else [int(x) for x in runs], int(most), int(loss))
+        found.append([{"first_token": a, "tokens": b, "loss_tokens": c} for a, b, c in pieces])
+    return pd.Series(found)
+
+
+def _exact_pieces(items: DataFrame) -> DataFrame:
+    """Like :func:`_pieces`, with the loss-bearing tokens of a piece counted where they stand."""
+    fits = (F.col("tokens") <= F.col("capacity")) & (F.col("loss_tokens") <= F.col("loss_capacity"))
+    zero = F.lit(0).cast("long")
+    kept = [c for c in items.columns if c not in ("tokens", "loss_tokens", "quiet")]
+    whole = items.where(fits).select(*kept, zero.alias("piece"), zero.alias("first_token"), "tokens", "loss_tokens")
+    cut = items.where(~fits).select(*kept, F.posexplode(_cut("tokens", "quiet", "capacity", "loss_capacity")).alias("piece", "p"))
+    return whole.unionByName(cut.select(*kept, F.col("piece").cast("long").alias("piece"), "p.first_token", "p.tokens", "p.loss_tokens"))
+
+
 def _pieces(items: DataFrame) -> DataFrame:
     """Items over a limit cut into as few pieces as fit; other items are their own only piece."""
     by_tokens = F.ceil(F.col("tokens") / F.col("capacity"))
@@ -97,7 +139,8 @@ def pack(
 ) -> DataFrame:
     """Place every item, for every budget, in a container.
 
-    ``items`` has ``id_column``, ``tokens`` and ``loss_tokens``; ``budgets`` has ``budget_name`` and
+    ``items`` has ``id_column``, ``tokens`` and ``loss_tokens``, and may have ``quiet`` (runs of tokens that bear no loss, see
+    :mod:`keelstone.llm.tokens`); without it the loss of a piece is taken in proportion to its length.  ``budgets`` has ``budget_name`` and
     ``capacity_tokens`` (a small table of settings).  Limits of a container: capacity_tokens, one item per
     ``tokens_per_segment`` of it, and ``loss_share`` of it as loss-bearing tokens.
 
@@ -123,12 +166,14 @@ def pack(
     ]
     if not limits:
         return spark.createDataFrame([], out)
+    exact = dict(items.dtypes).get("quiet") == "array<bigint>"
     wanted = items.select(
-        id_column, F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("loss_tokens", F.lit(0)).alias("loss_tokens")
+        id_column, F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("loss_tokens", F.lit(0)).alias("loss_tokens"),
+        *(["quiet"] if exact else []),
     )
     every = wanted.withColumn("_b", F.explode(F.array(*limits))).select(*wanted.columns, "_b.*")
     empty = every.where("tokens <= 0")
-    pieces = materialize(_pieces(every.where("tokens > 0")), "pieces")
+    pieces = materialize((_exact_pieces if exact else _pieces)(every.where("tokens > 0")), "pieces")
     full = pieces.where("tokens = capacity")
     open_pieces = pieces.where("tokens < capacity")
 

@@ -4,7 +4,7 @@ Two forms are computed.  The *comparison form* is compatibility normalisation, c
 white space and default-ignorable characters removed.  The *page form* undoes only what a reader cannot see: encodings
 of accents, full-width and joined letters, invisible characters, kinds of blanks, and letters of another script with
 the same shape; case, raised digits and fraction signs stay.  Texts of equal page form have equal comparison forms, so
-the comparison form finds candidates and the page form checks them.
+the comparison form finds candidates among all texts, and the page form is made of the candidates only and checks them.
 """
 
 from __future__ import annotations
@@ -12,12 +12,15 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelstone.operators.skew import heavy_keys, replicate_for_salt, salt_of
+from keelstone.session import materialize
+
 # --- fixed values ---
 #: Default-ignorable code points (Unicode, derived core property), as inclusive ranges.
 IGNORABLE = [
@@ -25,7 +28,7 @@ IGNORABLE = [
     (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF),
     (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 ]
-#: Cyrillic and Greek letters, each followed by the Latin letter of the same shape.
+#: Cyrillic, Greek, phonetic and Armenian letters, each followed by the Latin letter of the same shape.
 CYRILLIC_SHAPES = (
     "\u0410A \u0412B \u0415E \u0405S \u0406I \u0408J \u041aK \u041cM \u041dH \u041eO \u0420P \u0421C \u0422T \u0425X "
     "\u050cG \u051aQ \u051cW \u04aeY \u0430a \u0435e \u0456i \u0458j \u043eo \u0440p \u0441c \u0443y \u0445x \u0455s "
@@ -33,8 +36,9 @@ CYRILLIC_SHAPES = (
 )
 GREEK_SHAPES = (
     "\u0391A \u0392B \u0395E \u0396Z \u0397H \u0399I \u039aK \u039cM \u039dN \u039fO \u03a1P \u03a4T \u03a5Y \u03a7X "
-    "\u03bfo \u03f3j"
+    "\u03bfo \u03f3j \u03f2c \u03f9C"
 )
+OTHER_SHAPES = "\u04c0I \u0261g \u0585o \u0555O \u0570h \u0578n \u057du \u054dU \u054fS \u0581g"
 #: White space drawn as a blank; separators drawn as a line break.
 BLANKS = [0x09, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 BREAKS = [0x85, 0x2028, 0x2029]
@@ -51,7 +55,7 @@ def _page_table() -> dict[int, str | None]:
             table[code] = unicodedata.normalize("NFKD", form)
     for code in JOINED:
         table[code] = unicodedata.normalize("NFKD", chr(code))
-    table.update({ord(pair[0]): pair[1] for pair in f"{CYRILLIC_SHAPES} {GREEK_SHAPES}".split(" ")})
+    table.update({ord(pair[0]): pair[1] for pair in f"{CYRILLIC_SHAPES} {GREEK_SHAPES} {OTHER_SHAPES}".split(" ")})
     table.update(dict.fromkeys(BLANKS, " "))
     table.update(dict.fromkeys(BREAKS, "\n"))
     for low, high in IGNORABLE:
@@ -80,8 +84,15 @@ def fold(page: str) -> str:
 
 
 def comparison_form(text: str) -> str:
-    """Compatibility normalised, composed, fully case-folded, blanks mapped, ignorable characters removed."""
-    return fold(page_form(text))
+    """Compatibility normalised, composed, fully case-folded, blanks mapped, ignorable characters removed.
+
+    It is ``fold(page_form(text))``; the composition between the two steps would be undone and is left out.
+    """
+    if "\r" in text:
+        text = _RETURNS.sub("\n", text)
+    if text.isascii():
+        return (text.replace("\t", " ") if "\t" in text else text).lower()
+    return fold(unicodedata.normalize("NFD", text).translate(_PAGE_TABLE))
 
 
 def _digest(text: str) -> bytes:
@@ -108,40 +119,92 @@ def unify_text(df: DataFrame, column: str, form: str = "comparison") -> DataFram
     return df.mapInArrow(run, df.schema)
 
 
-def text_digests(df: DataFrame, id_column: str, column: str) -> DataFrame:
-    """``id, as_written, as_seen, compared``: 128-bit digests of a text, its page form and its comparison form.
+#: Distinct texts whose digests a task remembers.
+REMEMBERED = 100_000
+#: Candidate ids up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Rows of a class, or copies of a text, that one task pairs; larger ones are spread over several.
+PAIRED_ROWS = 4096
 
-    Rows with a null text or id are left out: they have nothing to compare.
-    """
-    rows = df.select(F.col(id_column).alias("id"), F.col(column).alias("text")).where("id is not null and text is not null")
-    kind = rows.schema["id"].dataType
+
+def _digested(df: DataFrame, form: Callable[[str], str], name: str) -> DataFrame:
+    """``id, as_written, <name>``: digests of the text and of one of its forms. Each distinct text is formed once a task."""
+    kind = df.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             coded = batch.column(1).dictionary_encode()
-            digests = []
+            written, formed = [], []
             for text in coded.dictionary.to_pylist():
-                page = page_form(text)
-                digests.append((_digest(text), _digest(page), _digest(fold(page))))
-            columns = [pa.array([d[i] for d in digests], pa.binary()).take(coded.indices) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "as_written", "as_seen", "compared"])
+                own = _digest(text)
+                if own not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[own] = _digest(form(text))
+                written.append(own)
+                formed.append(known[own])
+            columns = [pa.array(d, pa.binary()).take(coded.indices) for d in (written, formed)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "as_written", name])
+
+    return df.mapInArrow(run, f"id {kind.simpleString()}, as_written binary, {name} binary")
 
-    return rows.mapInArrow(run, f"id {kind.simpleString()}, as_written binary, as_seen binary, compared binary")
+
+def text_digests(df: DataFrame, id_column: str, column: str) -> DataFrame:
+    """``id, as_written, as_seen``: digests of each text that may read like a different one, and of its page form.
+
+    The comparison forms of all texts are compared first: only where different texts share one are they candidates, and
+    only the candidates, each distinct text once, are brought to page form.  Rows with a null text or id are left out:
+    they have nothing to compare; so are texts whose comparison form is their own.
+    """
+    rows = df.select(F.col(id_column).alias("id"), F.col(column).alias("text")).where("id is not null and text is not null")
+    compared = materialize(_digested(rows, comparison_form, "compared"), "compared")
+    texts = compared.groupBy("compared", "as_written").agg(F.min("id").alias("id"))
+    shared = texts.groupBy("compared").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("compared")
+    candidates = materialize(texts.join(shared, "compared", "left_semi").select("id", "as_written"), "candidates")
+    ids = candidates.select("id").distinct()  # an id may come twice
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    pages = _digested(rows.join(ids, "id", "left_semi"), page_form, "as_seen").select("as_written", "as_seen").distinct()
+    pages = pages.join(candidates.select("as_written"), "as_written", "left_semi")
+    heavy = heavy_keys(compared.select("as_written"), ["as_written"])
+    members = compared.select("id", "as_written").withColumn("_salt", salt_of([F.col("as_written")], [F.col("id")], heavy))
+    return members.join(replicate_for_salt(pages, ["as_written"], heavy), ["as_written", "_salt"]).select("id", "as_written", "as_seen")
+
+
+def look_alikes(digests: DataFrame) -> DataFrame:
+    """``as_seen, as_written, copies, id``: the different texts of each class that reads the same, with the smallest id of each.
+
+    Only classes of several texts are listed.  With the ids in ``digests`` (the membership), this says as much as all pairs.
+    """
+    texts = digests.groupBy("as_seen", "as_written").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"))
+    several = texts.groupBy("as_seen").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("as_seen")
+    return texts.join(several, "as_seen", "left_semi")
 
 
 def same_on_the_page(digests: DataFrame) -> DataFrame:
     """``id_a, id_b`` (a < b): all pairs of rows with different texts that read the same.
 
-    Equal texts are collapsed first.  Comparison forms shared by several different texts give the candidates, equal page
-    forms among those are the pairs of texts, and each pair of texts is expanded to its rows.  Rows of equal texts are
-    never paired with each other, so copies cost nothing; what is expanded is exactly the result.
+    The texts of a class are paired, not its rows, so copies of one text cost nothing; each pair of texts is expanded to
+    its rows, so what is expanded is exactly the result.  Large classes and texts of many copies are cut into parts of
+    about ``PAIRED_ROWS`` that go to different tasks.
     """
-    texts = digests.groupBy("compared", "as_seen", "as_written").agg(F.count(F.lit(1)).alias("copies"))
-    shared = texts.groupBy("compared").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("compared")
-    candidates = texts.join(shared, "compared", "left_semi").select("as_seen", "as_written")
-    a, b = candidates.withColumnRenamed("as_written", "text_a"), candidates.withColumnRenamed("as_written", "text_b")
-    pairs = a.join(b, "as_seen").where("text_a < text_b").select("text_a", "text_b")
-    rows_a = digests.select(F.col("as_written").alias("text_a"), F.col("id").alias("_a"))
-    rows_b = digests.select(F.col("as_written").alias("text_b"), F.col("id").alias("_b"))
-    found = pairs.join(rows_a, "text_a").join(rows_b, "text_b").where("_a <> _b")
+    texts = materialize(look_alikes(digests).select("as_seen", "as_written", "copies"), "look-alikes")
+    sizes = texts.groupBy("as_seen").agg(F.ceil(F.count(F.lit(1)) / PAIRED_ROWS).cast("int").alias("parts"))
+    sized = texts.join(sizes, "as_seen")
+    part = F.pmod(F.xxhash64("as_written"), F.col("parts")).cast("int")
+    a = sized.select("as_seen", part.alias("part"), F.col("as_written").alias("text_a"), F.col("copies").alias("copies_a"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    b = sized.select("as_seen", every.alias("part"), F.col("as_written").alias("text_b"), F.col("copies").alias("copies_b"))
+    pairs = a.join(b, ["as_seen", "part"]).where("text_a < text_b").drop("as_seen", "part")
+    members = digests.join(texts.select("as_written", "copies"), "as_written").select("id", "as_written", "copies")
+    found = pairs
+    for side in ("a", "b"):
+        parts = F.ceil(F.col(f"copies_{side}") / PAIRED_ROWS).cast("int")
+        spread = found.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        own = members.select(
+            F.col("as_written").alias(f"text_{side}"), F.col("id").alias(f"_{side}"),
+            F.pmod(F.xxhash64("id"), F.ceil(F.col("copies") / PAIRED_ROWS)).cast("int").alias("part"),
+        )
+        found = spread.join(own, [f"text_{side}", "part"]).drop("part")
+    found = found.where("_a <> _b")
     return found.select(F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"))

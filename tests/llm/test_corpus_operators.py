@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from keelstone.llm import queries
 from keelstone.llm.mixing import mix, route
-from keelstone.llm.packing import pack, pack_group
+from keelstone.llm.packing import cut_item, pack, pack_group
 from keelstone.llm.textforms import comparison_form, fold, page_form, same_on_the_page, text_digests, unify_text
 from keelstone.llm.tokens import DEFAULT_VOCABULARY, count_tokens, encoder
 
@@ -61,6 +61,23 @@ def test_pairs_match_brute_force(spark):
     assert same_on_the_page(text_digests(df.limit(0), "doc_id", "text")).count() == 0
 
 
+def test_large_classes_are_paired_in_parts(spark, monkeypatch):
+    """A class of 30 spellings, one of them with 200 copies, cut into small parts."""
+    from keelstone.llm import textforms
+
+    monkeypatch.setattr(textforms, "PAIRED_ROWS", 7)
+    spellings = ["order" + "\u200b" * i for i in range(30)]
+    texts = spellings + [spellings[3]] * 199 + ["Order"] * 3 + ["other"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    digests = text_digests(df, "id", "text")
+    found = [tuple(r) for r in same_on_the_page(digests).collect()]
+    wanted = {(a, b) for (a, s), (b, t) in combinations(enumerate(texts), 2) if s != t and page_form(s) == page_form(t)}
+    assert len(found) == len(set(found)) and set(found) == wanted
+    classes = textforms.look_alikes(digests).collect()
+    assert sorted(r["id"] for r in classes) == list(range(30)) and len({r["as_seen"] for r in classes}) == 1
+    assert {r["id"]: r["copies"] for r in classes}[3] == 200
+
+
 def test_unify_keeps_rows(spark):
     df = spark.createDataFrame([(1, "Ａß"), (2, None), (3, ""), (3, "")], "id int, text string")
     assert sorted(map(tuple, unify_text(df, "text").collect()), key=repr) == sorted([(1, "ass"), (2, None), (3, ""), (3, "")], key=repr)
@@ -144,6 +161,55 @@ def test_pack_places_all_tokens(spark):
     assert pack(spark, items, budgets.limit(0), "id").count() == 0
 
 
+@hyp(max_examples=150, deadline=None)
+@given(st.integers(1, 300), st.lists(st.tuples(st.integers(0, 40), st.integers(1, 40)), max_size=6), st.integers(1, 90), st.integers(1, 90))
+def test_cut_pieces_are_as_few_as_fit(tokens, gaps, capacity, loss_capacity):
+    runs, at = [], 0
+    for gap, n in gaps:
+        at += gap
+        n = min(n, tokens - at)
+        if n <= 0:
+            break
+        runs += [at, n]
+        at += n
+    bears = np.ones(tokens, int)
+    for a, n in zip(runs[0::2], runs[1::2]):
+        bears[a : a + n] = 0
+    pieces = cut_item(tokens, runs, capacity, loss_capacity)
+    assert [p[0] for p in pieces] == list(np.cumsum([0, *[p[1] for p in pieces]]))[:-1] and sum(p[1] for p in pieces) == tokens
+    for first, n, loss in pieces:
+        assert 0 < n <= capacity and loss == bears[first : first + n].sum() <= loss_capacity
+    for first, n, _ in pieces[:-1]:  # one more token would break a limit, so fewer pieces are impossible
+        assert n == capacity or bears[first : first + n + 1].sum() > loss_capacity
+
+
+@needs_vocabulary
+def test_quiet_tokens_stand_where_the_remarks_are(spark):
+    texts = ["Order (Applause.) and [laughter é] more", "(all)", "none", "tail (x)", "", None, "ß" * 40 + " (é) " + "word " * 50]
+    df = spark.createDataFrame([(i, t, i != 2) for i, t in enumerate(texts)], "id int, text string, own boolean")
+    known = encoder(DEFAULT_VOCABULARY)
+    for r in count_tokens(df, "text", learned="own").collect():
+        tokens, runs = known.encode_ordinary(texts[r["id"]] or ""), list(zip(r["quiet"][0::2], r["quiet"][1::2]))
+        said = [known.decode(tokens[a : a + n]).strip() for a, n in runs]
+        assert r["tokens"] == len(tokens) and r["loss_tokens"] == len(tokens) - sum(n for _, n in runs)
+        assert said == {0: ["(Applause.)", "[laughter é]"], 1: ["(all)"], 2: ["none"], 3: ["(x)"], 6: ["(é)"]}.get(r["id"], [])
+
+
+@needs_data
+@needs_vocabulary
+def test_three_limits_bind_and_hold(spark):
+    closed = {r["budget_name"]: r for r in queries.p6_limits(spark, DATA).collect()}
+    assert len(closed) == 4
+    for cause in ("full_of_tokens", "full_of_items", "full_of_loss"):
+        assert sum(r[cause] for r in closed.values()) > 0, cause
+    fill = {r["budget_name"]: r["unused_share"] for r in queries.p6_fill(spark, DATA).collect()}
+    assert all(fill[b] <= closed[b]["unused_share"] + 1e-9 for b in fill)  # tokens alone leave less space unused
+    for r in queries.p6_checked(spark, DATA).collect():
+        assert (r["over_limit"], r["changed"], r["split_in_vain"]) == (0, 0, 0)
+    for r in queries.p7_checked(spark, DATA).collect():
+        assert (r["over_cap"], r["of_others"], r["off_share"]) == (0, 0, 0), r
+
+
 # 7: mixing
 
 
