@@ -45,6 +45,7 @@ SETTINGS = {
     "spark.keelstone.compaction.interval": "12",  # hours
     "spark.keelstone.cleanup.interval": "5",  # hours
     "spark.keelstone.full.partitioned.table.scan.enabled": "false",
+    "spark.keelstone.part.merge.enable": "false",
     "spark.keelstone.part.merge.file.minimum.num": "5",
     "spark.keelstone.allow.stale.materialView": "false",
     "spark.keelstone.material.query.rewrite.enable": "true",
@@ -205,9 +206,16 @@ class Table:
     def toDF(self, condition: str | Column | None = None, merge: dict[str, str | MergeOperator | Callable] | None = None) -> DataFrame:
         """The table's rows. ``condition`` filters, and prunes partitions and buckets before anything is read.
 
-        ``merge`` names merge operators for columns of a keyed table; other columns take their newest value.
+        ``merge`` names merge operators for columns of a keyed table; other columns take their newest value.  With the setting
+        ``part.merge.enable``, partitions with many versions have the oldest of them folded first; not under operators,
+        since these need every version as it is.
         """
         state = self.snapshot()
+        if state.meta.keyed and not merge and state.meta.view is None and enabled(self.spark, "part.merge.enable"):
+            try:
+                state = self.part_compaction()
+            except ConflictError:  # another one folds them; the rows are the same
+                state = self.snapshot()
         if state.meta.view is not None and not enabled(self.spark, "allow.stale.materialView"):
             from keelstone.plans.views import is_stale
 
