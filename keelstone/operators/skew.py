@@ -151,3 +151,35 @@ def chunked_aggregate(
     used in ``states`` are pruned and may have any names.
     """
     return merge_states(chunked_states(df, key, input_part, position, states, chunk_rows), key, merges)
+
+
+def ordered_chunks(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], chunk_rows: int = 65_536, name: str = "chunk") -> DataFrame:
+    """``df`` with a chunk number: the rows of each key in the order of ``order_by``, cut into chunks of equal size.
+
+    Rows are numbered exactly by :func:`running_total`, so a hot key is spread over tasks before, in and after the
+    numbering.  Null keys form one group; ties of ``order_by`` fall in a fixed order; an empty table stays empty; a
+    column already called ``name`` is replaced.
+    """
+    (no,) = unused_names(df, 1)
+    numbered = running_total(df.drop(name), keys, order_by, None, no)
+    return numbered.withColumn(name, F.floor((F.col(no) - 1) / F.lit(chunk_rows)).cast("long")).drop(no)
+
+
+def largest_gap(df: DataFrame, key: str, value: str, chunk_rows: int = 65_536) -> DataFrame:
+    """``key, rows, first, last, gap``: the largest step between neighbouring values of a key in ascending order.
+
+    A chunk is processed by itself; its boundary state is its first and last value and its largest inner step.  The states
+    of a key are then taken in the order of chunks, where the step from one chunk's last to the next one's first counts
+    too.  Null values are left out; a key with one value has no gap (null); repeated values make steps of 0.
+    """
+    rows = df.select(F.col(key), F.col(value)).where(F.col(value).isNotNull())
+    chunks = ordered_chunks(rows, [key], [value], chunk_rows)
+    values = F.array_sort(F.collect_list(value))  # one chunk
+    states = chunks.groupBy(key, "chunk").agg(F.count(F.lit(1)).alias("_n"), values.alias("_v"))
+    steps = F.zip_with(F.slice("_v", 2, F.size("_v")), F.col("_v"), lambda b, a: b - a)
+    states = states.select(key, "chunk", "_n", F.col("_v")[0].alias("_first"), F.element_at("_v", -1).alias("_last"), F.array_max(F.filter(steps, lambda x: x.isNotNull())).alias("_inner"))
+    before = F.lag("_last").over(Window.partitionBy(key).orderBy("chunk"))
+    states = states.withColumn("_edge", F.col("_first") - before)
+    return states.groupBy(key).agg(
+        F.sum("_n").alias("rows"), F.min("_first").alias("first"), F.max("_last").alias("last"), F.max(F.greatest("_inner", "_edge")).alias("gap")
+    )

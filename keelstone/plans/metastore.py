@@ -12,7 +12,7 @@ from keelstone.functions.metadata import file_name, is_reference, month_of
 from keelstone.operators.drift import column_values, path_type_statistics, read_unified, schema_changes, schema_fields
 from keelstone.operators.incremental import StateStore
 from keelstone.operators.orphans import orphan_references
-from keelstone.operators.skew import HEAVY_SHARE, chunked_aggregate, heavy_keys, replicate_for_salt, salt_of
+from keelstone.operators.skew import HEAVY_SHARE, chunked_aggregate, chunked_states, heavy_keys, largest_gap, replicate_for_salt, salt_of
 from keelstone.operators.sorted_runs import merge_sorted_files, plan_merges
 from keelstone.session import list_files, materialize, scratch_path, shuffles_dropped
 
@@ -417,6 +417,39 @@ group by range_value
 """
 
 
+#: Rows of a chunk in p4_chunks and p4_version_gaps, so that keys of the test tables have several.
+CHUNK_ROWS = 256
+
+
+def p4_chunks(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The equal-sized chunks into which the rows of every range_id are cut."""
+    rows = table(spark, sf_dir, "data_info")
+    part = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
+    chunks = chunked_states(rows, "range_id", part, F.col("_metadata.row_index"), {}, chunk_rows)
+    return chunks.select("range_id", "chunk", "chunk_first", "chunk_size")
+
+
+P4_CHUNKS_SQL = f"""
+with n as (select range_id, count(*) as n from data_info group by 1),
+x as (select range_id, n, unnest(range((n + {CHUNK_ROWS - 1}) // {CHUNK_ROWS})) as chunk from n)
+select range_id, chunk, chunk * {CHUNK_ROWS} as chunk_first, least({CHUNK_ROWS}, n - chunk * {CHUNK_ROWS}) as chunk_size from x
+"""
+
+
+def p4_version_gaps(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Per range_id the largest step between consecutive write_versions: a result that depends on the order of the chunks."""
+    gaps = largest_gap(table(spark, sf_dir, "data_info"), "range_id", "write_version", chunk_rows)
+    return gaps.select("range_id", "rows", F.col("first").alias("first_version"), F.col("last").alias("last_version"), "gap")
+
+
+P4_GAPS_SQL = """
+with x as (
+  select range_id, write_version as v, write_version - lag(write_version) over (partition by range_id order by write_version) as step
+  from data_info where write_version is not null)
+select range_id, count(*) as rows, min(v) as first_version, max(v) as last_version, max(step) as gap from x group by 1
+"""
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -521,6 +554,8 @@ QUERIES = {
     "p3_unified": p3_unified,
     "p4_found": p4_found,
     "p4_range_results": p4_range_results,
+    "p4_chunks": p4_chunks,
+    "p4_version_gaps": p4_version_gaps,
     "p4_range_files": p4_range_files,
     "p4_range_value_files": p4_range_value_files,
     "p5_found": p5_found,
@@ -534,6 +569,8 @@ SQL = {
     "p3_unified": P3_UNIFIED_SQL,
     "p4_found": P4_SQL,
     "p4_range_results": P4_RANGES_SQL,
+    "p4_chunks": P4_CHUNKS_SQL,
+    "p4_version_gaps": P4_GAPS_SQL,
     "p4_range_files": P4_RANGE_FILES_SQL,
     "p4_range_value_files": P4_RANGE_VALUE_FILES_SQL,
     "p5_found": P5_SQL,

@@ -12,7 +12,7 @@ from keelstone.functions.metadata import file_name, is_reference, month_of
 from keelstone.operators.drift import compare_entries, read_unified, schema_changes, schema_entries
 from keelstone.operators.incremental import StateConflict, StateStore
 from keelstone.operators.orphans import orphan_references
-from keelstone.operators.skew import chunked_aggregate, heavy_keys, replicate_for_salt, running_total, salt_of
+from keelstone.operators.skew import chunked_aggregate, heavy_keys, largest_gap, replicate_for_salt, running_total, salt_of
 from keelstone.operators.sorted_runs import merge_blocks, merge_sorted_files, plan_merges
 from keelstone.session import scratch_path
 
@@ -67,6 +67,19 @@ def test_chunked_aggregate_matches_group_by(spark, chunk_rows):
     assert chunked_aggregate(df.limit(0), "key", F.col("part"), F.col("at"), states, merges).count() == 0
 
 
+@pytest.mark.parametrize("chunk_rows", [1, 7, 100_000])
+def test_largest_gap_over_chunk_borders(spark, chunk_rows):
+    rng = random.Random(6)
+    data = [("hot", rng.randrange(10**6)) for _ in range(300)] + [("one", 5), (None, 3), (None, 90), ("nulls", None), ("same", 4), ("same", 4)]
+    df = spark.createDataFrame(data, "key string, v long").withColumn("chunk", F.lit("x"))
+    wanted = []
+    for k in {k for k, v in data if v is not None}:
+        own = sorted(v for x, v in data if x == k and v is not None)
+        wanted.append((k, len(own), own[0], own[-1], max((b - a for a, b in zip(own, own[1:])), default=None)))
+    assert rows(largest_gap(df, "key", "v", chunk_rows)) == sorted(wanted, key=repr)
+    assert largest_gap(df.limit(0), "key", "v").count() == 0
+
+
 def test_heavy_keys_and_salting(spark):
     df, _ = skewed(spark)
     heavy = heavy_keys(df, ["key"], 0.1)
