@@ -386,7 +386,8 @@ def sql(spark: SparkSession, text: str) -> DataFrame | None:
             return None
     from keelstone.plans.views import answer
 
-    return answer(spark, statement, lambda s: spark.sql(_with_views(spark, s)))
+    run = lambda s: spark.sql(_with_views(spark, s))
+    return run(statement) if _merge_calls(spark, statement)[1] else answer(spark, statement, run)
 
 
 def _insert(spark: SparkSession, table: Table, overwrite: bool, partition: str | None, rest: str) -> None:
