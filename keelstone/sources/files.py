@@ -63,10 +63,12 @@ def write_files(
     if meta.keyed:
         with buckets_kept(spark):
             if not (unique and is_placed(rows, meta.bucket_num)):
-                rows = rows.repartition(*directories, bucket_of(meta.hash_columns, meta.bucket_num))
-            if not unique:
-                last = Window.partitionBy(*directories, *[f"`{k}`" for k in meta.hash_columns]).orderBy(F.desc("__at"))
-                rows = rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__at")
+                layout = [*directories, "__bucket"]
+                rows = rows.withColumn("__bucket", bucket_of(meta.hash_columns, meta.bucket_num)).repartition(*layout)
+                if not unique:
+                    last = Window.partitionBy(*layout, *[f"`{k}`" for k in meta.hash_columns]).orderBy(F.desc("__at"))
+                    rows = rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__at")
+                rows = rows.drop("__bucket")
             write_bucketed(rows, folder, directories, meta.hash_columns, meta.bucket_num, compression)
     else:
         sort_by = meta.properties.get("keelstone.sortBy")

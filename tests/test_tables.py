@@ -372,6 +372,19 @@ def test_compaction_keeps_buckets_in_place(spark, tmp_path, settings, ranges, mo
     assert len({(f.range_key, f.bucket) for f in held}) == len(held) and all(f.is_base for f in held)
 
 
+def test_a_write_is_one_shuffle_and_one_file_per_bucket(spark, tmp_path, settings):
+    settings("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    t = Table(spark, f"{tmp_path}/t")
+    data = spark.range(0, 4000, 1, 8).selectExpr("id % 1000 as k", "cast(id % 2 as string) as p", "id as v")
+    t.write(data, range_partitions="p", hash_partitions="k", bucket_num=5)
+    files = list(t.snapshot().files.values())
+    assert len(files) == 10 == len({(f.range_key, f.bucket) for f in files})
+    assert rows(t.toDF(), "k", "v") == sorted(((k, k + 3000) for k in range(1000)), key=repr)
+    for f in files:
+        keys = [r[0] for r in spark.read.parquet(f"{t.path}/{f.path}").select("k").collect()]
+        assert keys == sorted(keys)
+
+
 def test_small_sorted_files_are_swapped_in_one_commit(spark, tmp_path, monkeypatch):
     t = Table(spark, f"{tmp_path}/t")
     data = spark.range(300).selectExpr("id", "cast(id % 2 as string) as p", "timestamp_seconds(id) as ts", "cast(id as decimal(9,2)) as d", "array(struct(id as x)) as n")
