@@ -351,7 +351,7 @@ def sql(spark: SparkSession, text: str) -> DataFrame | None:
     """Run a statement. Tables of this engine are ``keel.name`` or ``keel.`/path```; all else is Spark's.
 
     DELETE, UPDATE, INSERT, CREATE / ALTER / DROP TABLE and DESCRIBE on such tables are carried out here; queries are
-    answered from materialized views where one holds the answer.  ``merge_<operator>(column)`` in a query reads the column
+    answered from materialized views where one holds the answer; INTERSECT and EXCEPT on keys become joins.  ``merge_<operator>(column)`` in a query reads the column
     merged by that operator.
     """
     statement = sqltext.without_comments(text).strip().rstrip(";").strip()
@@ -386,10 +386,31 @@ def sql(spark: SparkSession, text: str) -> DataFrame | None:
             return None
     from keelstone.plans.views import answer
 
+    if (found := _on_keys(spark, statement)) is not None:
+        return found
     run = lambda s: spark.sql(_with_views(spark, s))
     return run(statement) if _merge_calls(spark, statement)[1] else answer(spark, statement, run)
 
 
+def _on_keys(spark: SparkSession, statement: str) -> DataFrame | None:
+    """INTERSECT or EXCEPT of exactly the hash columns of two tables with as many buckets: a join without a shuffle."""
+    side = rf"select\s+([\w\s,`]+?)\s+from\s+{_ID}"
+    m = sqltext.match(rf"{side}\s+(intersect|except|minus)\s+(?:distinct\s+)?{side}\s*$", statement)
+    if not m:
+        return None
+    left, right = _target(spark, m[2]), _target(spark, m[5])
+    mine, theirs = left.meta, right.meta
+    if mine.view is not None or theirs.view is not None or mine.bucket_num != theirs.bucket_num:
+        return None
+    for columns, meta in ((m[1], mine), (m[4], theirs)):
+        named = [sqltext.unquoted(c).lower() for c in sqltext.split(columns)]
+        if not meta.keyed or named != [c.lower() for c in meta.hash_columns]:
+            return None
+    if [mine.struct[c].dataType for c in mine.hash_columns] != [theirs.struct[c].dataType for c in theirs.hash_columns]:
+        return None
+    return left.intersectKeys(right) if m[3].lower() == "intersect" else left.exceptKeys(right)
+
+
 def _insert(spark: SparkSession, table: Table, overwrite: bool, partition: str | None, rest: str) -> None:
     columns, by_name, listed = None, False, sqltext.bracketed(rest)
     if listed is not None and not re.match(r"\s*(select|with|values|from|table|\()", sqltext.masked(listed), re.I):

@@ -262,6 +262,25 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.unionByName(undeclared)
 
 
+def p3_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of p3_found that SQL can state: columns of files that no version of their table declares."""
+    return p3_found(spark, sf_dir).where("change = 'undeclared'").drop("change")
+
+
+P3_UNDECLARED_SQL = """
+with v as (
+  select table_id, table_schema from undo_log u where commit_type = 'schema' and table_schema is not null and exists (
+    select 1 from undo_log c where c.commit_type = 'commit' and c.tag = -1 and c.table_id = u.table_id and c.commit_id = u.commit_id)),
+every as (select * from v union all select table_id, table_schema from table_info where table_id in (select table_id from v)),
+names as (select distinct table_id, lower(unnest(json_extract_string(table_schema, '$.fields[*].name'))) as n from every where json_valid(table_schema)),
+listed as (
+  select distinct table_id, commit_id, lower(trim(unnest(string_split(file_exist_cols, ',')))) as n from data_info
+  where commit_id is not null and table_id in (select table_id from v))
+select table_id, commit_id, n as field_name from listed l
+where n <> '' and not exists (select 1 from names d where d.table_id = l.table_id and d.n = l.n)
+"""
+
+
 def drifted_files(spark: SparkSession, sf_dir: str) -> list[str]:
     """All rows of data_info in four folders, by write_version modulo 4, whose schemas differ as by several writers.
 
@@ -551,6 +570,7 @@ QUERIES = {
     "p2_plan": p2_plan,
     "p2_merged": p2_merged,
     "p3_found": p3_found,
+    "p3_undeclared": p3_undeclared,
     "p3_unified": p3_unified,
     "p4_found": p4_found,
     "p4_range_results": p4_range_results,
@@ -566,6 +586,7 @@ SQL = {
     "p2_found": P2_SQL,
     "p2_plan": P2_PLAN_SQL,
     "p2_merged": P2_MERGED_SQL,
+    "p3_undeclared": P3_UNDECLARED_SQL,
     "p3_unified": P3_UNIFIED_SQL,
     "p4_found": P4_SQL,
     "p4_range_results": P4_RANGES_SQL,

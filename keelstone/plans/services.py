@@ -280,6 +280,16 @@ def missing_files_skipped(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query(f"select o_orderkey from orders where o_orderkey % 3 <> 0 union all select o_orderkey from ({ADDED})")
+def except_keys_in_sql(spark, sf_dir):
+    """EXCEPT on the keys of two tables with as many buckets, in SQL: planned as a join without a shuffle."""
+    left, right = fresh_name(spark), fresh_name(spark)
+    rows = source(spark, sf_dir, "orders")
+    for name, data in ((left, rows.unionByName(added(spark, sf_dir))), (right, rows.where("o_orderkey % 3 = 0"))):
+        Table(spark, scratch_path(spark, "keys")).write(data, hash_partitions="o_orderkey", bucket_num=8, short_name=name)
+    return catalog.sql(spark, f"select o_orderkey from keel.{left} except select o_orderkey from keel.{right}")
+
+
 @query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 150000)")
 def anti_join_some(spark, sf_dir):
     customer, orders = (plain(spark, sf_dir, n).toDF() for n in ("customer", "orders"))

@@ -423,6 +423,14 @@ def test_joins_and_set_operations_on_keys_have_no_shuffle(spark, tmp_path, setti
     for found, expected in ((left.intersectKeys(right), keys & theirs), (left.exceptKeys(right), keys - theirs), (right.exceptKeys(left), theirs - keys)):
         assert exchanges(found) == 0
         assert sorted(r[0] for r in found.collect()) == sorted(expected)
+    settings("spark.keelstone.catalog.dir", f"{tmp_path}/names")
+    catalog.register_name(spark, "l", left.path), catalog.register_name(spark, "r", right.path)
+    for text, expected, shuffles in (
+        ("select k from keel.l intersect select key from keel.r", keys & theirs, 0), ("SELECT `k` FROM keel.l EXCEPT DISTINCT SELECT key FROM keel.r", keys - theirs, 0),
+        ("select k + 0 from keel.l except select key from keel.r", keys - theirs, None), ("select p from keel.l intersect select name from keel.r", set(), None),
+    ):
+        found = catalog.sql(spark, text)
+        assert sorted(r[0] for r in found.collect()) == sorted(expected) and (shuffles is None or exchanges(found) == shuffles)
     with pytest.raises(UnsupportedError):
         left.intersectKeys(keyed(spark, f"{tmp_path}/two", [(1, 2)], "a int, b int", "a,b", 2))
 
@@ -596,6 +604,31 @@ def test_log_of_many_commits_and_many_partitions(spark, tmp_path):
     assert fresh.snapshot().partitions["p=7"].deltas == log.snapshot().partitions["p=7"].deltas
 
 
+def test_log_through_hadoops_file_system(spark, tmp_path):
+    """The way that is taken off local disks: the same commits, the same state, and no commit overwrites another."""
+    from keelstone.sources.log import CHECKPOINT_EVERY, DELTA, SIMPLE, CommitLog, Meta
+
+    def remote():
+        log = CommitLog(spark, f"file://{tmp_path}/t")
+        log._local = None
+        return log
+
+    raw = lambda i: {"path": f"data/{i}/x", "range_key": "-5", "range_values": {}, "bucket": -1, "size": 1, "columns": ["a"]}
+    one, two = remote(), remote()
+    assert one.snapshot().meta is None
+    one.commit(one.snapshot(), {"kind": SIMPLE, "meta": Meta("t", "{}").__dict__, "add": [raw(0)]})
+    stale = two.snapshot()
+    one.commit(one.snapshot(), {"kind": DELTA, "add": [raw(1)]})
+    two.commit(stale, {"kind": DELTA, "add": [raw(2)]})  # finds its number taken, and goes on
+    for i in range(3, CHECKPOINT_EVERY + 2):
+        one.commit(one.snapshot(), {"kind": DELTA, "add": [raw(i)]})
+    assert not one._create(f"{1:020d}.json", "other") and "data/1/x" in one._read(f"{1:020d}.json")
+    local = CommitLog(spark, f"file://{tmp_path}/t")
+    assert remote().snapshot() == local.snapshot() and len(local.snapshot().files) == CHECKPOINT_EVERY + 2
+    with pytest.raises(ConflictError):
+        two.commit(stale, {"kind": SIMPLE, "expire": ["data/none"]}, ["data/none"])
+
+
 def test_log_checkpoint_and_replay(spark, tmp_path):
     from keelstone.sources.log import CHECKPOINT_EVERY, CommitLog, Snapshot
 
