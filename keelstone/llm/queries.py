@@ -153,6 +153,29 @@ def p8_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
 
+def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p8_found, against the page forms of all texts: no speech missing, none too many, pairs in order."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text").where("doc_id is not null and text is not null")
+    written = documents.withColumn("written", F.md5("text"))
+    pages = materialize(unify_text(written, "text", "page").select("doc_id", "written", F.md5("text").alias("page")), "pages")
+    several = pages.groupBy("page").agg(F.countDistinct("written").alias("n")).where("n > 1").select("page")
+    wanted = pages.join(several, "page", "left_semi").select("doc_id").distinct()
+    found = materialize(p8_found(spark, sf_dir), "found")
+    named = found.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).distinct()
+    sides = [pages.select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("written").alias(f"w_{x}"), F.col("page").alias(f"p_{x}")) for x in "ab"]
+    both = found.join(sides[0], "doc_id_a").join(sides[1], "doc_id_b")
+    wrong = both.where("doc_id_a >= doc_id_b or w_a = w_b or p_a <> p_b")
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    told = count(wanted.join(named, "doc_id", "left_anti"), "missing").crossJoin(count(named.join(wanted, "doc_id", "left_anti"), "too_many"))
+    return told.crossJoin(count(wrong, "wrong_pairs")).crossJoin(count(documents, "documents"))  # one row each
+
+
+P8_CHECKED_SQL = """
+select cast(0 as bigint) as missing, cast(0 as bigint) as too_many, cast(0 as bigint) as wrong_pairs, count(*) as documents
+from documents where doc_id is not null and text is not null
+"""
+
+
 QUERIES = {
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
@@ -163,6 +186,7 @@ QUERIES = {
     "p7_checked": p7_checked,
     "p8_found": p8_found,
     "p8_classes": p8_classes,
+    "p8_checked": p8_checked,
     "p8_unified": p8_unified,
 }
-SQL: dict[str, str] = {"p6_checked": P6_CHECKED_SQL, "p7_checked": P7_CHECKED_SQL}
+SQL: dict[str, str] = {"p6_checked": P6_CHECKED_SQL, "p7_checked": P7_CHECKED_SQL, "p8_checked": P8_CHECKED_SQL}

@@ -257,4 +257,7 @@ def test_queries_run_on_whole_and_empty_tables(spark, tmp_path):
     documents = spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert queries.p6_pack(spark, DATA).where("budget_name = 'tiny'").select("doc_id").distinct().count() == documents
     for name, query in queries.QUERIES.items():
-        assert query(spark, str(tmp_path)).count() == 0, name
+        if name == "p8_checked":  # always one row of counts
+            assert tuple(query(spark, str(tmp_path)).first()) == (0, 0, 0, 0)
+        else:
+            assert query(spark, str(tmp_path)).count() == 0, name
