@@ -167,12 +167,12 @@ def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = both.where("doc_id_a >= doc_id_b or w_a = w_b or p_a <> p_b")
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     told = count(wanted.join(named, "doc_id", "left_anti"), "missing").crossJoin(count(named.join(wanted, "doc_id", "left_anti"), "too_many"))
-    return told.crossJoin(count(wrong, "wrong_pairs")).crossJoin(count(documents, "documents"))  # one row each
+    return told.crossJoin(count(wrong, "wrong_pairs")).crossJoin(count(documents, "documents").where("documents > 0"))  # one row each
 
 
 P8_CHECKED_SQL = """
 select cast(0 as bigint) as missing, cast(0 as bigint) as too_many, cast(0 as bigint) as wrong_pairs, count(*) as documents
-from documents where doc_id is not null and text is not null
+from documents where doc_id is not null and text is not null having count(*) > 0
 """
 
 
