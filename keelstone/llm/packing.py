@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -13,7 +15,7 @@ from keelstone.session import materialize
 
 #: Items that one task packs together; a group leaves at most one container half empty.
 GROUP_ITEMS = 4096
-#: Containers with more than this share of their tokens unused are emptied and packed once more.
+#: Containers that leave more than this share of each limit unused are emptied and packed once more.
 LOOSE_SHARE = 1 / 32
 PLACED = "budget_name string, container_id string, {id} {kind}, piece long, first_token long, tokens long, loss_tokens long"
 
@@ -33,7 +35,7 @@ def pack_group(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: in
         raise ValueError("an item does not fit an empty container")
     order = np.lexsort((-loss, -tokens))
     t, d = tokens[order].astype(np.int64), loss[order].astype(np.int64)
-    left = np.ones(n, bool)
+    left, less = np.ones(n, bool), -t
     start, container = 0, 0  # everything before start is placed
     remaining = n
     while remaining:
@@ -41,7 +43,7 @@ def pack_group(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: in
         while seats and remaining:
             while start < n and not left[start]:
                 start += 1
-            first = max(start, int(np.searchsorted(-t, -room, "left")))  # t is descending: from here on items fit
+            first = max(start, int(less.searchsorted(-room)))  # t is descending: from here on items fit
             fits = left[first:] & (d[first:] <= loss_room)
             if not fits.any():
                 break
@@ -55,29 +57,28 @@ def pack_group(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: in
         if remaining and remaining * 2 < n - start:  # squeeze out what is placed
             keep = np.flatnonzero(left)
             t, d, order = t[keep], d[keep], order[keep]
-            left, n, start = np.ones(len(keep), bool), len(keep), 0
+            left, less, n, start = np.ones(len(keep), bool), -t, len(keep), 0
     return place
 
 
 def cut_item(tokens: int, quiet: list[int], capacity: int, loss_capacity: int) -> list[tuple[int, int, int]]:
     """``(first, tokens, loss)`` of as few pieces as fit: each is as long as both limits allow from where the last ended."""
-    starts, sizes = np.array(quiet[0::2], np.int64), np.array(quiet[1::2], np.int64)
-    before = np.concatenate([[0], np.cumsum(sizes)])  # quiet tokens before each run
-    bearing = starts - before[:-1]  # loss-bearing tokens before each run
+    starts, sizes = quiet[0::2], quiet[1::2]
+    before = [0, *itertools.accumulate(sizes)]  # quiet tokens before each run
+    bearing = [at - n for at, n in zip(starts, before)]  # loss-bearing tokens before each run
 
     def loss_until(at: int) -> int:
-        i = int(np.searchsorted(starts, at, "left"))
-        inside = max(0, int(starts[i - 1] + sizes[i - 1]) - at) if i else 0
-        return at - int(before[i]) + inside
+        i = bisect.bisect_left(starts, at)
+        inside = max(0, starts[i - 1] + sizes[i - 1] - at) if i else 0
+        return at - before[i] + inside
 
-    pieces, at = [], 0
+    pieces, at, spent = [], 0, 0
     while at < tokens:
-        spent = loss_until(at)
         target = spent + loss_capacity
-        reach = target + int(before[np.searchsorted(bearing, target, "right")])
-        end = min(reach, at + capacity, tokens)
-        pieces.append((at, end - at, loss_until(end) - spent))
-        at = end
+        end = min(target + before[bisect.bisect_right(bearing, target)], at + capacity, tokens)
+        loss = loss_until(end)
+        pieces.append((at, end - at, loss - spent))
+        at, spent = end, loss
     return pieces
 
 
@@ -85,8 +86,8 @@ def cut_item(tokens: int, quiet: list[int], capacity: int, loss_capacity: int) -
 def _cut(tokens: pd.Series, quiet: pd.Series, capacity: pd.Series, loss_capacity: pd.Series) -> pd.Series:
     found = []
     for n, runs, most, loss in zip(tokens, quiet, capacity, loss_capacity):
-        pieces = cut_item(int(n), [] if runs is None else [int(x) for x in runs], int(most), int(loss))
-        found.append([{"first_token": a, "tokens": b, "loss_tokens": c} for a, b, c in pieces])
+        pieces = cut_item(int(n), [] if runs is None else list(map(int, runs)), int(most), int(loss))
+        found.append([dict(zip(("first_token", "tokens", "loss_tokens"), p)) for p in pieces])
     return pd.Series(found)
 
 
@@ -193,9 +194,12 @@ def pack(
             bins = pack_group(
                 pdf["tokens"].to_numpy(), pdf["loss_tokens"].to_numpy(), int(head["capacity"]), int(head["segments"]), int(head["loss_capacity"])
             )
-            used = np.bincount(bins, weights=pdf["tokens"])[bins]
+            room = 1 - LOOSE_SHARE
+            loose = np.bincount(bins, weights=pdf["tokens"]) < int(head["capacity"]) * room
+            loose &= np.bincount(bins) < int(head["segments"])  # one that a limit has closed would not become fuller
+            loose &= np.bincount(bins, weights=pdf["loss_tokens"]) < int(head["loss_capacity"]) * room
             pdf["container_id"] = [f"{head['budget_name']}-{label}{head['_group']}-{b}" for b in bins]
-            pdf["loose"] = used < int(head["capacity"]) * (1 - LOOSE_SHARE)
+            pdf["loose"] = loose[bins]
             return pdf[[*columns, "capacity", "segments", "loss_capacity", "loose"]]
 
         grouped = rows.withColumn("_group", deal).groupBy("budget_name", "_group")

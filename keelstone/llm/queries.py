@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keelstone.llm.mixing import mix, source_key
 from keelstone.llm.packing import pack
-from keelstone.llm.textforms import look_alikes, same_on_the_page, text_digests, unify_text
+from keelstone.llm.textforms import digests_of, look_alikes, page_form, same_on_the_page, text_digests, unify_text
 from keelstone.llm.tokens import DEFAULT_VOCABULARY, count_tokens
 from keelstone.session import materialize
 
@@ -156,8 +156,8 @@ def p8_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of p8_found, against the page forms of all texts: no speech missing, none too many, pairs in order."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text").where("doc_id is not null and text is not null")
-    written = documents.withColumn("written", F.md5("text"))
-    pages = materialize(unify_text(written, "text", "page").select("doc_id", "written", F.md5("text").alias("page")), "pages")
+    pages = digests_of(documents.select(F.col("doc_id").alias("id"), "text"), page_form, "page")
+    pages = materialize(pages.select(F.col("id").alias("doc_id"), F.col("as_written").alias("written"), "page"), "pages")
     several = pages.groupBy("page").agg(F.countDistinct("written").alias("n")).where("n > 1").select("page")
     wanted = pages.join(several, "page", "left_semi").select("doc_id").distinct()
     found = materialize(p8_found(spark, sf_dir), "found")

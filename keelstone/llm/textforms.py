@@ -127,7 +127,7 @@ BROADCAST_IDS = 500_000
 PAIRED_ROWS = 4096
 
 
-def _digested(df: DataFrame, form: Callable[[str], str], name: str) -> DataFrame:
+def digests_of(df: DataFrame, form: Callable[[str], str], name: str) -> DataFrame:
     """``id, as_written, <name>``: digests of the text and of one of its forms. Each distinct text is formed once a task."""
     kind = df.schema["id"].dataType
 
@@ -158,13 +158,13 @@ def text_digests(df: DataFrame, id_column: str, column: str) -> DataFrame:
     they have nothing to compare; so are texts whose comparison form is their own.
     """
     rows = df.select(F.col(id_column).alias("id"), F.col(column).alias("text")).where("id is not null and text is not null")
-    compared = materialize(_digested(rows, comparison_form, "compared"), "compared")
+    compared = materialize(digests_of(rows, comparison_form, "compared"), "compared")
     texts = compared.groupBy("compared", "as_written").agg(F.min("id").alias("id"))
     shared = texts.groupBy("compared").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("compared")
     candidates = materialize(texts.join(shared, "compared", "left_semi").select("id", "as_written"), "candidates")
     ids = candidates.select("id").distinct()  # an id may come twice
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    pages = _digested(rows.join(ids, "id", "left_semi"), page_form, "as_seen").select("as_written", "as_seen").distinct()
+    pages = digests_of(rows.join(ids, "id", "left_semi"), page_form, "as_seen").select("as_written", "as_seen").distinct()
     pages = pages.join(candidates.select("as_written"), "as_written", "left_semi")
     heavy = heavy_keys(compared.select("as_written"), ["as_written"])
     members = compared.select("id", "as_written").withColumn("_salt", salt_of([F.col("as_written")], [F.col("id")], heavy))
