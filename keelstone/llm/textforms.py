@@ -65,6 +65,24 @@ def _page_table() -> dict[int, str | None]:
 
 _PAGE_TABLE = _page_table()
 _RETURNS = re.compile("\r\n?")
+#: Characters met so far, and whether the page table changes a part of them.
+_CHANGED: dict[str, bool] = {}
+
+
+def _is_changed(sign: str) -> bool:
+    if sign not in _CHANGED:
+        _CHANGED[sign] = any(ord(part) in _PAGE_TABLE for part in unicodedata.normalize("NFD", sign))
+    return _CHANGED[sign]
+
+
+def _mapped(text: str) -> str:
+    """Canonically decomposed where the page table has something to change, then changed by it; otherwise as it was.
+
+    Most texts hold no such sign; their different characters tell.
+    """
+    if any(map(_is_changed, set(text))):
+        return unicodedata.normalize("NFD", text).translate(_PAGE_TABLE)
+    return text
 
 
 def page_form(text: str) -> str:
@@ -73,7 +91,7 @@ def page_form(text: str) -> str:
         text = _RETURNS.sub("\n", text)
     if text.isascii():
         return text.replace("\t", " ") if "\t" in text else text
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_PAGE_TABLE))
+    return unicodedata.normalize("NFC", _mapped(text))
 
 
 def fold(page: str) -> str:
@@ -92,7 +110,7 @@ def comparison_form(text: str) -> str:
         text = _RETURNS.sub("\n", text)
     if text.isascii():
         return (text.replace("\t", " ") if "\t" in text else text).lower()
-    return fold(unicodedata.normalize("NFD", text).translate(_PAGE_TABLE))
+    return fold(_mapped(text))
 
 
 def _digest(text: str) -> bytes:

@@ -45,6 +45,10 @@ def test_forms_are_stable_and_nested(text):
     page = page_form(text)
     assert page_form(page) == page and unicodedata.is_normalized("NFC", page)
     assert fold(page) == comparison_form(text)
+    from keelstone.llm import textforms
+
+    plain = unicodedata.normalize("NFD", textforms._RETURNS.sub("\n", text)).translate(textforms._PAGE_TABLE)
+    assert page == unicodedata.normalize("NFC", plain)  # as if every text were decomposed and mapped
 
 
 def test_pairs_match_brute_force(spark):
